@@ -192,4 +192,4 @@ def safe_bool(c: Column) -> Column:
 
 def flag_set(c: Column, mark: str = ";") -> Column:
     """Flags joined in a string, as an array without blanks."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), f"[{mark}]"), F.trim), lambda f: f != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), f"[{mark}]"), lambda f: F.trim(f)), lambda f: f != "")
