@@ -16,8 +16,8 @@ looked at.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import defaultdict, deque
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,39 +148,68 @@ def allocate(bundles: list[tuple[int, str, int]], shares: dict[str, float], labe
         while rest:
             path = flow.shortest(node((size, label, "b")), sink)
             rest -= flow.push(path, rest)
-    plan = {(size, label): {s: flow.cap[e ^ 1] // size for s, e in first[size, label].items()} for size, label, _ in order}
+    # whole components, the largest first: what rounding keeps from a split or gives it too much is owed to the next,
+    # smaller ones
+    plan: dict[tuple[int, str], dict[str, int]] = {}
+    owed = dict.fromkeys(names, 0)
+    for size, label, count in order:
+        rows = {s: flow.cap[e ^ 1] for s, e in first[size, label].items()}
+        want = {s: (n + owed[s]) / size for s, n in rows.items()}
+        got = {s: max(0, int(w)) for s, w in want.items()}
+        excess = sum(got.values()) - count
+        for s in sorted(got, key=lambda s: (want[s] - got[s], s)):
+            if excess > 0:
+                got[s], excess = max(0, got[s] - excess), excess - min(got[s], excess)
+        for s in sorted(got, key=lambda s: (got[s] - want[s], s)):
+            if excess < 0:
+                whole_parts = max(1, -excess if len(got) == 1 else 1)
+                got[s], excess = got[s] + whole_parts, excess + whole_parts
+        if excess < 0:
+            got[largest] += -excess
+        plan[size, label] = got
+        for s in got:
+            owed[s] += rows[s] - got[s] * size
     open_whole = {s: whole[s] - sum(k[0] * v.get(s, 0) for k, v in plan.items()) for s in names}
     open_label = {(label, s): per[label][s] - sum(k[0] * v.get(s, 0) for k, v in plan.items() if k[1] == label) for label in per for s in names}
-    for size, label, count in order:  # whole components: the largest first, each to where most is open
-        for _ in range(count - sum(plan[size, label].values())):
-            fits = list(plan[size, label])
-            s = max(fits, key=lambda s: (open_whole[s] >= size, open_label[label, s] >= size, open_whole[s] + open_label[label, s], s))
-            plan[size, label][s] += 1
-            open_whole[s] -= size
-            open_label[label, s] -= size
-    while True:  # exchanges of one component, or of none, mend what the large ones left over
-        over, under = min(names, key=lambda s: (open_whole[s], s)), max(names, key=lambda s: (open_whole[s], s))
-        most = min(-open_whole[over], open_whole[under])
-        held = {s: sorted({k[0] for k, v in plan.items() if v.get(s, 0)}) for s in (over, under)}
-        best = (0, 0, 0)
-        for size in held[over] if most > 0 else []:
-            back = [0, *held[under]]
-            other = back[min(bisect_left(back, size - most), len(back) - 1)]
-            if size - most <= other < size:
-                best = max(best, (size - other, -size, other))
-        if not best[0]:
-            return plan
-        moves = [(over, under, -best[1])] + [(under, over, best[2])] * (best[2] > 0)
-        for here, there, size in moves:
-            fits = [k for k, v in plan.items() if k[0] == size and v.get(here, 0) and there in v]
-            if not fits:
-                return plan
-            k = max(fits, key=lambda k: (open_label[k[1], there] - open_label[k[1], here], str(k[1])))
+    def move(here: str, there: str, size: int, times: int) -> None:
+        for _ in range(times):
+            k = max((k for k, v in plan.items() if k[0] == size and v.get(here, 0) and there in v), key=lambda k: (open_label[k[1], there] - open_label[k[1], here], str(k[1])))
             for s, sign in ((here, -1), (there, 1)):
                 plan[k][s] += sign
                 open_whole[s] -= sign * size
                 open_label[k[1], s] -= sign * size
 
+    while True:  # exchanges of one component for some of one smaller size, as long as they bring the splits nearer
+        counts: dict[tuple[str, str], dict[int, int]] = {}
+        for here, there in permutations(names, 2):
+            c = counts[here, there] = defaultdict(int)
+            for k, v in plan.items():
+                if there in v and v.get(here, 0):
+                    c[k[0]] += v[here]
+        best: tuple = (0,)
+        for here, there in permutations(names, 2):
+            gap = open_whole[there] - open_whole[here]
+            if gap <= 1:
+                continue
+            backs = sorted(counts[there, here].items())
+            for size in counts[here, there]:
+                options = [(0, 0)]
+                if size > gap / 2:
+                    for other, n in backs:
+                        if other >= size:
+                            break
+                        k = min(n, int((size - gap / 2) // other))
+                        options += [(other, k), (other, min(n, k + 1))]
+                for other, k in options:
+                    d = size - k * other
+                    if 0 < d < gap:
+                        best = max(best, (d * (gap - d), -k, here, there, size, other))
+        if not best[0]:
+            return plan
+        _, k, here, there, size, other = best
+        move(here, there, size, 1)
+        move(there, here, other, -k)
+
 
 def assign_splits(df: DataFrame, id_col: str, group: Column, label: Column, twin: Column, shares: dict[str, float] = SPLITS, seed: int = 17) -> DataFrame:
     """(id, grp, label, new_split): every row with its new split.
