@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import tokens
+from .text import bind, tokens
 
 #: The first code point of the alphabet, and how many follow it before the surrogates.
 _BASE, _ROOM = 19968, 35328
@@ -21,10 +21,14 @@ def char_distance(a: Column, b: Column) -> Column:
 
 def word_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance of two word arrays (fewer than 35,328 distinct words a pair)."""
-    words = F.array_distinct(F.concat(a, b))
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(_BASE) + F.array_position(words, w)), 4, "0")), "UTF-16BE")
-    spell = lambda x: F.array_join(F.transform(x, letter), "")
-    return F.when(F.size(words) < _ROOM, F.levenshtein(spell(a), spell(b)))
+
+    def spelled(p: Column, words: Column) -> Column:
+        letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(_BASE) + F.array_position(words, w)), 4, "0")), "UTF-16BE")
+        spell = lambda x: F.array_join(F.transform(x, letter), "")
+        return F.when(F.size(words) < _ROOM, F.levenshtein(spell(p["a"]), spell(p["b"])))
+
+    # inside a lambda nothing is shared: without the two bindings every word would list the words of the pair anew
+    return bind(F.struct(a.alias("a"), b.alias("b")), lambda p: bind(F.array_distinct(F.concat(p["a"], p["b"])), lambda words: spelled(p, words)))
 
 
 def error_columns(reference: Column, hypothesis: Column) -> dict[str, Column]:

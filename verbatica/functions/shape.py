@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from .text import token_key, tokens
+from .text import bind, token_key, tokens
 
 # Thresholds of the health flags.
 SHORT_CHARS, MIN_WORDS, RUN, CHAR_RUN, REF_RATIO, MEDIAN_RATIO = 4, 2, 3, 12, 0.20, 0.15
@@ -50,13 +50,13 @@ def char_run(c: Column) -> Column:
 def ngrams(words: Column, n: int) -> Column:
     """The n-grams of a word array, joined by blanks."""
     none = F.array().cast("array<string>")
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(none)
+    return bind(words, lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none))
 
 
 def repeats_at_once(words: Column, n: int = 3) -> Column:
     """Whether some n words are said again right behind themselves."""
-    at = F.when(F.size(words) >= 2 * n, F.sequence(F.lit(1), F.size(words) - 2 * n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.exists(at, lambda i: F.slice(words, i, n) == F.slice(words, i + n, n))
+    at = lambda w: F.when(F.size(w) >= 2 * n, F.sequence(F.lit(1), F.size(w) - 2 * n + 1)).otherwise(F.array().cast("array<int>"))
+    return bind(words, lambda w: F.exists(at(w), lambda i: F.slice(w, i, n) == F.slice(w, i + n, n)))
 
 
 def ngram_top(words: Column, n: int) -> Column:
@@ -72,8 +72,7 @@ def said_words(c: Column) -> Column:
 
 def repeated_share(words: Column, n: int) -> Column:
     """The part of the n-grams that has occurred before."""
-    g = ngrams(words, n)
-    return F.when(F.size(g) == 0, 0.0).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g))
+    return bind(ngrams(words, n), lambda g: F.when(F.size(g) == 0, 0.0).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g)))
 
 
 def very_short(c: Column, chars: int = 12, words: int = 3) -> Column:

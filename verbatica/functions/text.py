@@ -19,6 +19,14 @@ SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
 TAGS = ["music", "noise", "silence", "laughter", "applause", "inaudible", "unk"]
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it.
+
+    Nothing outside a lambda is shared with its rounds: an expression named inside is evaluated anew for every element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def collapse_space(c: Column) -> Column:
     """Runs of any white space become one blank, none is left at the ends."""
     return F.trim(F.regexp_replace(c, SPACE + "+", " "))
@@ -127,10 +135,10 @@ def sentence_split(c: Column) -> Column:
 
 def stitch(left: Column, right: Column, most: int = 25, least: int = 2) -> Column:
     """Two overlapping word arrays as one: the longest end of ``left`` that begins ``right`` is said once."""
-    kl, kr = F.transform(left, token_key), F.transform(right, token_key)
+    keys = F.struct(F.transform(left, token_key).alias("l"), F.transform(right, token_key).alias("r"))
     upto = F.least(F.lit(most), F.size(left), F.size(right))
     sizes = F.when(upto >= least, F.sequence(upto, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    fits = F.filter(sizes, lambda n: F.slice(kl, F.size(kl) - n + 1, n) == F.slice(kr, F.lit(1), n))
+    fits = bind(keys, lambda k: F.filter(sizes, lambda n: F.slice(k["l"], F.size(k["l"]) - n + 1, n) == F.slice(k["r"], F.lit(1), n)))
     n = F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(0))
     return F.concat(left, F.slice(right, n + 1, F.greatest(F.size(right), F.lit(1))))
 

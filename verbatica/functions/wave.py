@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 USABLE_SECONDS = 0.05
 
 
@@ -46,8 +48,7 @@ def seconds(a: Column, sampling_rate: Column) -> Column:
 
 def peak_normalize(a: Column, target: float = 0.95) -> Column:
     """Scaled to a peak of ``target``; silence stays as it is."""
-    p = peak(a)
-    return F.when(p > 0, F.transform(a, lambda x: x / p * target)).otherwise(a)
+    return bind(peak(a), lambda p: F.when(p > 0, F.transform(a, lambda x: x / p * target)).otherwise(a))
 
 
 def share(a: Column, holds) -> Column:
@@ -75,8 +76,13 @@ def frame_size(sampling_rate: Column, ms: float) -> Column:
 def frame_rms(a: Column, frame: Column, hop: Column | None = None) -> Column:
     """RMS of every whole frame, one behind the other or ``hop`` apart; of the whole if it is shorter than a frame."""
     hop = frame if hop is None else hop
-    starts = F.sequence(F.lit(1), F.size(a) - frame + 1, hop)
-    return F.when(F.size(a) == 0, F.array(F.lit(0.0))).when(F.size(a) < frame, F.array(rms(a))).otherwise(F.transform(starts, lambda s: rms(F.slice(a, s, frame))))
+
+    def frames(w: Column) -> Column:
+        x, size = w["a"], w["frame"]
+        starts = F.sequence(F.lit(1), F.size(x) - size + 1, hop)
+        return F.when(F.size(x) == 0, F.array(F.lit(0.0))).when(F.size(x) < size, F.array(rms(x))).otherwise(F.transform(starts, lambda s: rms(F.slice(x, s, size))))
+
+    return bind(F.struct(a.alias("a"), frame.alias("frame")), frames)
 
 
 def basic_stats(a: Column, sampling_rate: Column, silent_below: float = 1e-5) -> Column:
@@ -114,7 +120,8 @@ def trim_edges(a: Column, sampling_rate: Column, top_db: float = 40.0, pad_ms: f
     frames = frame_rms(a, frame)
     loudest = F.array_max(frames)
     limit = F.greatest(loudest * 10.0 ** (-top_db / 20.0), F.lit(floor))
-    first, last = _first_last(frames, lambda v: v >= limit)
+    voiced = bind(limit, lambda low: F.transform(frames, lambda v: v >= low))
+    first, last = _first_last(voiced, lambda v: v)
     pad = F.floor(sampling_rate * pad_ms / 1000.0).cast("int")
     empty = (F.size(a) == 0) | first.isNull() | (loudest < floor)
     start = F.when(empty, 0).otherwise(F.greatest((first - 1) * frame - pad, F.lit(0)))
@@ -135,7 +142,7 @@ def hop_silence(a: Column, sampling_rate: Column, frame_ms: float = 25.0, hop_ms
     """The part of overlapping frames more than 20 dB under the level of the whole; 1 for nothing."""
     limit = F.greatest(F.lit(1e-4), 0.10 * rms(a))
     frames = frame_rms(a, frame_size(sampling_rate, frame_ms), frame_size(sampling_rate, hop_ms))
-    return F.when(F.size(a) == 0, 1.0).otherwise(share(frames, lambda v: v < limit))
+    return F.when(F.size(a) == 0, 1.0).otherwise(bind(limit, lambda low: share(frames, lambda v: v < low)))
 
 
 def frame_tokens(ids: Column, probabilities: Column, blank: int) -> dict[str, Column]:

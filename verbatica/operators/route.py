@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shape import degenerate, health_reasons, ngram_top, said_words, usable_reasons
+from ..functions.text import bind
 from .scoring import group_metrics, rates
 
 LOOP_ORDER, LOOP_TIMES = 4, 4
@@ -125,8 +126,8 @@ def _grams(df: DataFrame, text: str, order: int, *keep: str) -> DataFrame:
     """(kept columns, context, char) of every position of the padded text."""
     clean = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[\s\p{Z}]+", " "))
     padded = F.concat(F.lit(_START * (order - 1)), clean, F.lit(_END))
-    at = F.sequence(F.lit(1), F.length(padded) - (order - 1))
-    gram = F.transform(at, lambda i: F.struct(F.substring(padded, i, F.lit(order - 1)).alias("context"), F.substring(padded, i + (order - 1), F.lit(1)).alias("char")))
+    at = lambda p: F.sequence(F.lit(1), F.length(p) - (order - 1))
+    gram = bind(padded, lambda p: F.transform(at(p), lambda i: F.struct(F.substring(p, i, F.lit(order - 1)).alias("context"), F.substring(p, i + (order - 1), F.lit(1)).alias("char"))))
     return df.select(*keep, F.explode(gram).alias("g")).select(*keep, "g.context", "g.char")
 
 
