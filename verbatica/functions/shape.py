@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import bind, token_key, tokens
@@ -83,9 +83,14 @@ def very_long(c: Column, chars: int = 650, words: int = 90) -> Column:
     return (F.length(F.trim(c)) > chars) | (F.size(tokens(c)) > words)
 
 
-def language_median(c: Column, language: Column) -> Column:
-    """Median number of characters of the stripped texts of a language."""
-    return F.median(F.length(F.trim(c))).over(Window.partitionBy(language))
+def with_language_median(df: DataFrame, text: str, language: Column, out: str = "med") -> DataFrame:
+    """``out``: the median number of characters of the stripped texts of a row's language.
+
+    Lengths are counted by value inside the aggregate; the medians, one a language, are sent to the rows.
+    """
+    named = df.withColumn("__l", language)
+    medians = named.groupBy("__l").agg(F.median(F.length(F.trim(text))).alias(out)).withColumnRenamed("__l", "__m")
+    return named.join(F.broadcast(medians), F.col("__l").eqNullSafe(F.col("__m")), "left").drop("__l", "__m")
 
 
 def degenerate(c: Column, least: int = 3) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import shape
 from ..functions.editdist import word_distance
 from ..functions.sequence import block_error_counts, phrase_rules, rover, substitutions
 from ..functions.text import compression_ratio, stable_fold
+from .skew import ranked
 
 #: A rule table larger than this is refused rather than brought to the driver.
 MOST_RULES = 20_000
@@ -36,15 +37,8 @@ def mine_rules(pairs: DataFrame, least: int = 3, reverse: float = 0.34) -> DataF
 
 
 def halves(pairs: DataFrame) -> DataFrame:
-    """``mined``: every other row in the order of identifiers.
-
-    The parity of a row's place needs only the parity of the sizes of the ranges before it.
-    """
-    ranged = pairs.repartitionByRange("id").withColumn("__p", F.spark_partition_id())
-    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    placed = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy("id"))).join(F.broadcast(before), "__p")
-    return placed.withColumn("mined", (F.col("__b") + F.col("__r") - 1) % 2 == 0).drop("__p", "__r", "__b")
+    """``mined``: every other row in the order of identifiers."""
+    return ranked(pairs, "id", out="__at").withColumn("mined", F.col("__at") % 2 == 0).drop("__at")
 
 
 def collect_rules(rules: DataFrame) -> dict[str, list[tuple[str, str]]]:

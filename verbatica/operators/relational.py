@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import ranked
+
 
 def split_language_filter(df: DataFrame, languages: list[str] | None = None, split: str | None = None, language_col: str = "language", split_col: str = "original_split") -> DataFrame:
     """Rows of the languages and the split; either may be left open."""
@@ -53,22 +55,13 @@ def seeded_sample(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     return df.orderBy(seeded_order(F.col(key), seed), F.col(key)).limit(n)
 
 
-def contiguous_shard(df: DataFrame, shards: int, index: int, key: str, buckets: int = 256) -> DataFrame:
-    """The ``index``-th of ``shards`` parts of the rows in the order of a numeric key; the first parts take the remainder.
-
-    Ranks come from the sorted partitions' sizes, so that no task orders the whole table.
-    """
-    part = F.spark_partition_id()
-    ordered = df.repartitionByRange(buckets, key).withColumn("__p", part)
-    sizes = ordered.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    ranked = ordered.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(key))).join(F.broadcast(before), "__p")
-    total = sizes.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+def contiguous_shard(df: DataFrame, shards: int, index: int, key: str) -> DataFrame:
+    """The ``index``-th of ``shards`` parts of the rows in the order of a key; the first parts take the remainder."""
+    total = df.count()
     size, rest = divmod(total, shards)
     start = index * size + min(index, rest)
     stop = start + size + (1 if index < rest else 0)
-    at = F.col("__before") + F.col("__r") - 1
-    return ranked.filter((at >= start) & (at < stop)).drop("__p", "__r", "__before")
+    return ranked(df, key, out="__at").filter((F.col("__at") >= start) & (F.col("__at") < stop)).drop("__at")
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -158,6 +151,6 @@ def balanced(df: DataFrame, group: str, order: str) -> DataFrame:
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     top = sizes.agg(F.max("__n").alias("__top"))
     plan = sizes.crossJoin(F.broadcast(top)).select(group, F.expr("__top div __n").alias("__k"), F.expr("__top % __n").alias("__rest"))
-    ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(group).orderBy(order))).join(F.broadcast(plan), group)
-    copies = F.sequence(F.lit(1), (F.col("__k") + F.when(F.col("__rn") <= F.col("__rest"), 1).otherwise(0)).cast("int"))
-    return ranked.withColumn("copy", F.explode(copies)).drop("__rn", "__k", "__rest")
+    placed = ranked(df, order, group, "__rn").join(F.broadcast(plan.withColumnRenamed(group, "__h")), F.col(group).eqNullSafe(F.col("__h")))
+    copies = F.sequence(F.lit(1), (F.col("__k") + F.when(F.col("__rn") < F.col("__rest"), 1).otherwise(0)).cast("int"))
+    return placed.withColumn("copy", F.explode(copies)).drop("__rn", "__k", "__rest", "__h")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: A key is hot when it holds at least this share of the rows: there can be at most 1/HOT_SHARE hot keys.
 HOT_SHARE = 0.002
 
@@ -48,6 +50,28 @@ def grouped_prefix_sum(df: DataFrame, group: str, order: str, weight: str | Colu
     return joined.withColumn(out, F.col("__before") + F.col("__in")).drop("__w", "__b", "__in", "__before")
 
 
+def ranked(df: DataFrame, order: str, group: str | None = None, out: str = "rank", parts: int | None = None) -> DataFrame:
+    """``out``: the place of every row in ``order``, counted from 0, in its group or in the whole table.
+
+    Rows are cut into ranges of group and order, written once so that both uses see the same ranges; inside a range
+    they are numbered, and the sizes of the ranges before are added. No task ever holds a whole group.
+    """
+    keys = [order] if group is None else [group, order]
+    ranged = df.repartitionByRange(*([parts] if parts else []), *keys).withColumn("__p", F.spark_partition_id())
+    ranged = cut(ranged)
+    inner = ["__p"] if group is None else ["__p", group]
+    sizes = ranged.groupBy(*inner).agg(F.count(F.lit(1)).alias("__n"))
+    # as many rows as there are ranges, and one more for every group that ends inside one
+    w = Window.orderBy("__p") if group is None else Window.partitionBy(group).orderBy("__p")
+    before = sizes.withColumn("__b", F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    numbered = ranged.withColumn("__r", F.row_number().over(Window.partitionBy(*inner).orderBy(order)))
+    if group is None:
+        joined = numbered.join(before, "__p")
+    else:
+        joined = numbered.join(before.withColumnsRenamed({group: "__g", "__p": "__q"}), (F.col("__p") == F.col("__q")) & F.col(group).eqNullSafe(F.col("__g")))
+    return joined.withColumn(out, F.col("__b") + F.col("__r") - 1).drop("__p", "__q", "__g", "__b", "__r")
+
+
 def unit_hash(*columns: Column) -> Column:
     """A hash of the columns as a fraction of [0, 1)."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_fold
+from .skew import ranked
 
 
 def threshold_gains(samples: DataFrame, thresholds: list[float], *groups: str) -> DataFrame:
@@ -57,10 +58,9 @@ def contiguous_margins(samples: DataFrame, margins: list[float], folds: int, lan
 
     ``score`` may use the column ``margin``; it is computed for every row under every margin.
     """
-    w = Window.partitionBy(language)
-    ranked = samples.withColumns({"__r": F.row_number().over(w.orderBy(order)) - 1, "__n": F.count(F.lit(1)).over(w)})
-    size = F.greatest(F.expr(f"__n div {folds}"), F.lit(1))
-    kept = ranked.filter(F.col("__r") < size * folds)
+    sizes = samples.groupBy(F.col(language).alias("__l")).agg(F.greatest(F.expr(f"count(1) div {folds}"), F.lit(1)).alias("__size"))
+    placed = ranked(samples, order, language, "__at").join(F.broadcast(sizes), F.col(language).eqNullSafe(F.col("__l")))
+    kept = placed.filter(F.col("__at") < F.col("__size") * folds)
     each = kept.withColumn("margin", F.explode(F.array(*[F.lit(float(m)) for m in margins])))
     return each.groupBy(language, "margin").agg(F.round(F.avg(score), 9).alias("mean"))
 

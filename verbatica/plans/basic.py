@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import flag_set, id_language
 from ..operators import audit, relational
-from ..session import table
+from ..session import shared_folder, table
+from ..sources import io as sources
 from .registry import query
 from .views import SQL, hyps, plain, refs, sql_plain, system
 
@@ -29,9 +32,7 @@ def lm(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a3_reference_rename", f"SELECT id AS \"ID\", coalesce(target, '') AS \"Target\", coalesce(nullif(language, ''), split_part(id, '_', 1)) AS language FROM zoo_references")
 def a3(spark, d):
-    from ..sources.io import as_references
-
-    return as_references(table(spark, d, "zoo_references"))
+    return sources.as_references(table(spark, d, "zoo_references"))
 
 
 @query("a7_pruned_scan", "SELECT DISTINCT id, speaker_id, gender FROM prepared_rows WHERE gender IN ('male', 'M')")
@@ -46,17 +47,62 @@ def a8(spark, d):
 
 @query("a14_first_column", "SELECT row_no, CASE WHEN trim(transcription) <> '' THEN transcription WHEN trim(text) <> '' THEN text END AS picked FROM lm_text")
 def a14(spark, d):
-    from ..sources.io import pick_text
-
-    return pick_text(lm(spark, d), ["transcription", "text"], "picked").select("row_no", "picked")
+    return sources.pick_text(lm(spark, d), ["transcription", "text"], "picked").select("row_no", "picked")
 
 
 @query("a15_long_systems", f"{SQL} SELECT system, count(*) AS n, sum(length(hyp))::BIGINT AS n_chars FROM hyps WHERE system IN ('ctc_wide', 'seq_large') GROUP BY system")
 def a15(spark, d):
-    from ..sources.io import long_systems
-
     named = {s: system(spark, d, s) for s in ("ctc_wide", "seq_large")}
-    return long_systems(named).groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("hyp")).alias("n_chars"))
+    return sources.long_systems(named).groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("hyp")).alias("n_chars"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for queries that write and read back."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_PLAIN_REFS = "SELECT id, coalesce(target, '') AS target, coalesce(language, '') AS language FROM zoo_references"
+
+
+@query("a1_csv_round_trip", _PLAIN_REFS)
+def a1(spark, d):
+    path = _folder(spark, "csv")
+    rows = table(spark, d, "zoo_references").select("id", "target", "language").fillna("")
+    sources.write_csv(rows, path, ["id", "target", "language"], "id")
+    return sources.load_table(spark, path, ["id", "target", "language"], "references")
+
+
+@query("a6_json_ledger", "SELECT model_name, count(*) * 2 AS n FROM zoo_predictions GROUP BY model_name")
+def a6(spark, d):
+    path = _folder(spark, "ledger")
+    for _ in range(2):
+        sources.append_log(audit.count_by(table(spark, d, "zoo_predictions"), "model_name"), path)
+    return spark.read.json(path).groupBy("model_name").agg(F.sum("n").alias("n"))
+
+
+@query("a9_split_folders", "SELECT row_no, CASE WHEN original_split = 'dev' THEN 'new' ELSE 'old' END AS age, original_split FROM generalization_mix WHERE original_split IN ('train', 'dev')")
+def a9(spark, d):
+    path = _folder(spark, "splits")
+    rows = mix(spark, d).select("row_no", "original_split").filter("original_split IN ('train', 'dev')")
+    sources.write_splits(rows.withColumn("age", F.lit("old")), path, "original_split")
+    sources.write_splits(rows.filter("original_split = 'dev'").withColumn("age", F.lit("new")), path, "original_split")
+    return spark.read.parquet(path).select("row_no", "age", "original_split")
+
+
+@query("a10_manifest", "SELECT audio_filepath, transcription FROM lm_text WHERE audio_filepath IS NOT NULL AND transcription IS NOT NULL AND transcription NOT LIKE '[%'")
+def a10(spark, d):
+    path = _folder(spark, "manifest")
+    rows = lm(spark, d).filter("audio_filepath IS NOT NULL AND transcription IS NOT NULL AND transcription NOT LIKE '[%'")
+    rows.select("audio_filepath", "transcription").write.json(path)
+    return sources.read_manifest(spark, path)
+
+
+@query("a13_corpus", f"SELECT language, {sql_plain('transcription')} AS value FROM prepared_rows WHERE language IS NOT NULL AND {sql_plain('transcription')} <> ''")
+def a13(spark, d):
+    path = _folder(spark, "corpus")
+    rows = prepared(spark, d).select("language", plain(F.col("transcription")).alias("t")).filter("language IS NOT NULL AND t <> ''")
+    sources.write_corpus(rows, path, "t", "language")
+    return spark.read.text(path).select("language", "value")
 
 
 # ---- filters and order ------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shape import health_reasons, language_median
+from ..functions.shape import health_reasons, with_language_median
 from ..functions.text import id_language
 from ..operators import route, scoring
 from ..session import cut
@@ -45,7 +45,7 @@ SELECT strategy, {_SUMS}, {_RATES} FROM p JOIN sel ON p.id = sel.id AND p.system
 def h7(spark, d):
     order = F.array(*[F.lit(s) for s in SYSTEMS])
     p = cut(pairs(spark, d).withColumn("idx", F.array_position(order, F.col("system")) - 1).select("id", "language", "system", "idx", "word_errors", "word_count", "char_errors", "char_count"))
-    base = system(spark, d, ANCHOR).join(refs(spark, d).select("id", "ref"), "id", "left").withColumn("med", language_median(F.col("hyp"), id_language(F.col("id"))))
+    base = with_language_median(system(spark, d, ANCHOR).join(refs(spark, d).select("id", "ref"), "id", "left"), "hyp", id_language(F.col("id")))
     bad = base.filter(F.size(health_reasons(F.col("hyp"), F.col("ref"), F.col("med"))) > 0).select("id")
     return route.strategy_report(p, route.strategies(p, ANCHOR, bad, "lin"))
 

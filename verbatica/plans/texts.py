@@ -201,7 +201,7 @@ SELECT id, list_filter([CASE WHEN hyp = '' THEN 'empty' END, CASE WHEN regexp_fu
 @query("f8_health", _HEALTH)
 def f8(spark, d):
     base = hyps(spark, d).filter("system = 'ctc_wide'").join(refs(spark, d).select("id", "ref"), "id", "left")
-    base = base.withColumn("med", shape.language_median(F.col("hyp"), text.id_language(F.col("id"))))
+    base = shape.with_language_median(base, "hyp", text.id_language(F.col("id")))
     return base.select("id", shape.health_reasons(F.col("hyp"), F.col("ref"), F.col("med")).alias("reasons"))
 
 
