@@ -233,5 +233,5 @@ def teacher_summary(scores: DataFrame) -> DataFrame:
     """(id, n_teachers, teacher_min, teacher_mean, teacher_max, best_teacher) of (id, teacher, ord, combined); the first
     of equally good teachers is the best."""
     return scores.groupBy("id").agg(
-        F.count(F.lit(1)).alias("n_teachers"), F.min("combined").alias("teacher_min"), F.round(F.avg("combined"), 9).alias("teacher_mean"), F.max("combined").alias("teacher_max"), F.min_by("teacher", F.struct("combined", "ord")).alias("best_teacher")
+        F.count(F.lit(1)).alias("n_teachers"), F.min("combined").alias("teacher_min"), F.avg("combined").alias("teacher_mean"), F.max("combined").alias("teacher_max"), F.min_by("teacher", F.struct("combined", "ord")).alias("best_teacher")
     )

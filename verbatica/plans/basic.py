@@ -291,9 +291,9 @@ def d3(spark, d):
     return audit.nearest_ranks(prepared(spark, d), F.col("duration"), {"p50": 0.5, "p95": 0.95}, "language")
 
 
-@query("d4_linear_quantile", "SELECT language, quantile_cont(duration, 0.25) AS q25, quantile_cont(duration, 0.9) AS q90 FROM prepared_rows GROUP BY language")
+@query("d4_linear_quantile", "SELECT language, round(quantile_cont(duration, 0.25), 6) AS q25, round(quantile_cont(duration, 0.9), 6) AS q90 FROM prepared_rows GROUP BY language")
 def d4(spark, d):
-    return prepared(spark, d).groupBy("language").agg(audit.linear_quantile("duration", 0.25).alias("q25"), audit.linear_quantile("duration", 0.9).alias("q90"))
+    return prepared(spark, d).groupBy("language").agg(F.round(audit.linear_quantile("duration", 0.25), 6).alias("q25"), F.round(audit.linear_quantile("duration", 0.9), 6).alias("q90"))
 
 
 def _stats_sql(name: str) -> str:

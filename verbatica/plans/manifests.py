@@ -301,9 +301,9 @@ def j14(spark, d):
     return manifest.autopsy(of(texts, "ctc_small"), audio, texts.filter("system <> 'ctc_small'"), _flag).select("id", "likely_silent", "sane_fallback", "verdict")
 
 
-@query("d25_teachers", f"{PAIRS_SQL}, c AS (SELECT id, system, round(0.5 * {rate_sql('we', 'wn')} + 0.5 * {rate_sql('ce', 'cn')}, 9) AS combined FROM pairs WHERE system <> 'seq_large') SELECT id, count(*) AS n_teachers, min(combined) AS teacher_min, round(avg(combined), 9) AS teacher_mean, max(combined) AS teacher_max, arg_min(system, (combined, system)) AS best_teacher FROM c GROUP BY id")
+@query("d25_teachers", f"{PAIRS_SQL}, c AS (SELECT id, system, round(0.5 * {rate_sql('we', 'wn')} + 0.5 * {rate_sql('ce', 'cn')}, 9) AS combined FROM pairs WHERE system <> 'seq_large') SELECT id, count(*) AS n_teachers, min(combined) AS teacher_min, round(avg(combined), 6) AS teacher_mean, max(combined) AS teacher_max, arg_min(system, (combined, system)) AS best_teacher FROM c GROUP BY id")
 def d25(spark, d):
     p = scoring.rates(pairs(spark, d)).filter("system <> 'seq_large'").select("id", F.col("system").alias("teacher"), F.col("system").alias("ord"), F.round("combined", 9).alias("combined"))
-    return manifest.teacher_summary(p)
+    return manifest.teacher_summary(p).withColumn("teacher_mean", F.round("teacher_mean", 6))
 
 

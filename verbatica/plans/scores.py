@@ -50,11 +50,12 @@ def g4(spark, d):
 
 @query(
     "g5_score_report",
-    f"{PAIRS_SQL}, l AS (SELECT language, {_SUMS}, {_RATES} FROM pairs WHERE system = 'ctc_wide' GROUP BY language) SELECT * FROM l UNION ALL SELECT 'overall', {_SUMS}, {_RATES} FROM pairs WHERE system = 'ctc_wide' "
-    "UNION ALL SELECT 'macro', sum(n)::BIGINT, sum(word_errors)::BIGINT, sum(word_count)::BIGINT, sum(char_errors)::BIGINT, sum(char_count)::BIGINT, avg(wer), avg(cer), avg(combined) FROM l",
+    f"{PAIRS_SQL}, l AS (SELECT language, {_SUMS}, {_RATES} FROM pairs WHERE system = 'ctc_wide' GROUP BY language), u AS (SELECT * FROM l UNION ALL SELECT 'overall', {_SUMS}, {_RATES} FROM pairs WHERE system = 'ctc_wide' "
+    "UNION ALL SELECT 'macro', sum(n)::BIGINT, sum(word_errors)::BIGINT, sum(word_count)::BIGINT, sum(char_errors)::BIGINT, sum(char_count)::BIGINT, avg(wer), avg(cer), avg(combined) FROM l) SELECT * REPLACE (round(wer, 9) AS wer, round(cer, 9) AS cer, round(combined, 9) AS combined) FROM u",
 )
 def g5(spark, d):
-    return scoring.score_report(scoring.pair_scores(refs(spark, d), hyps(spark, d).filter("system = 'ctc_wide'")))
+    report = scoring.score_report(scoring.pair_scores(refs(spark, d), hyps(spark, d).filter("system = 'ctc_wide'")))
+    return report.withColumns({c: F.round(c, 9) for c in ("wer", "cer", "combined")})
 
 
 def _policy_sql(name: str, norm: str) -> str:
