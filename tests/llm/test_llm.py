@@ -137,6 +137,26 @@ def test_overlaps_against_brute_force(spark):
     assert sure <= got
 
 
+def test_overlaps_at_the_limit_are_all_found(spark):
+    rng = random.Random(11)
+    syllables = ["ba", "ko", "mi", "lu", "no", "te", "ndi", "sa", "zu", "gwe"]
+    rows, want = [], set()
+    for i in range(60):
+        t = "".join(rng.choice(syllables) for _ in range(rng.randint(14, 120)))[: rng.choice([35, 60, 90, 150, 230])]
+        k, other = len(t) // 5, list(t)
+        at = range(4, len(t), 5) if i % 3 == 0 else rng.sample(range(len(t)), k)  # evenly spread, at random places, lost
+        for j in list(at)[:k]:
+            other[j] = "" if i % 3 == 2 else "q"
+        rows += [(2 * i, t, False), (2 * i + 1, "".join(other), True)]
+        want.add((2 * i, 2 * i + 1))
+    rows += [(900, "ba" * 40, False), (901, "ba" * 33, True), (902, "ba" * 31, True)]
+    df = with_clashes(spark.createDataFrame(rows, "row_no bigint, transcription string, is_held boolean"))
+    got = set(pairs(crosssplit.overlap_pairs(df, "row_no", "transcription", F.col("is_held")), "train_id", "held_id"))
+    letters = {(i, h): t for i, t, h in rows}
+    brute = {(a, b) for (a, ha), x in letters.items() for (b, hb), y in letters.items() if not ha and hb and 5 * edits(x, y) <= max(len(x), len(y))}
+    assert want <= brute and got == brute
+
+
 def test_overlap_report_counts_hot_copies(spark):
     text = "manga bokulu nze likemba tosala"
     rows = [(i, text, False, "train", "s") for i in range(300)] + [(1000 + i, text.upper(), True, "dev", "e") for i in range(5)] + [(2000, "kitu kingine kabisa hapa leo", True, "dev", "e")]
