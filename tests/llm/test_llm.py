@@ -70,6 +70,14 @@ def test_truncation_with_a_hot_utterance(spark):
     assert cut_rows(spark, rows) == [i for i in range(400) if i % 10 == 0]
 
 
+def test_truncation_beside_many_longer_texts(spark):
+    loops = [(100 + i, "u", f"x{i}", " ".join(f"noise{i} other{i} thing{j}" for j in range(5))) for i in range(12)]
+    assert 1 in cut_rows(spark, [(1, "u", "a", "the quick brown fox jumps over the lazy dog")] + loops, [("u", SAID)])
+    loops = [(100 + i, "u", f"x{i}", " ".join(f"noise{i} other{i} thing{j}" for j in range(5))) for i in range(70)]
+    rows = [(1, "u", "a", "the quick brown fox jumps over the lazy dog"), (1, "u", "a", "the quick brown fox jumps over the lazy dog"), (2, "u", "b", SAID)]
+    assert [r for r in cut_rows(spark, rows + loops, [("u", SAID)]) if r < 100] == [1, 1]
+
+
 # ---- 2 ----------------------------------------------------------------------------------------------------------
 
 

@@ -13,7 +13,7 @@ nor its siblings cut; what trails off at the end of the utterance ends where the
 
 Defined results: null, empty and artifact-only texts are never cut, but count as rows; rows with a null identifier
 have no siblings; a null group is a group; equal rows are judged alike, each for itself; texts are compared with
-the ``MOST_SIBLINGS`` longest other texts of their utterance; an empty table gives an empty result; other columns are
+all other texts of their utterance and with its reference, in slices where there are many; an empty table gives an empty result; other columns are
 not looked at. Texts are read whole.
 """
 
@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import attach_by_key
 from ..session import cut
 
-MOST_SIBLINGS = 8
+#: Texts of an utterance, and rows, that meet in one piece of work.
+SLICE_TEXTS, SLICE_ROWS = 64, 1000
 #: A word is known from so many rows, in which it is not the last one.
 KNOWN_FROM = 3
 _ARTIFACT = regex.compile(r"<\|[^|>]*(?:\|>|\|?$)|\[[^\]]*(?:\]|$)|\([^)]*\)|♪")
@@ -113,8 +114,9 @@ def align_prefix(x: list[str], s: list[str]) -> tuple[float, int, int]:
     return min(found, (before[j] + 1.0, j, 0))
 
 
-def judge(words: str, model: str | None, siblings: list[tuple[str, str, str]], unfinished: bool, closed: bool) -> tuple[bool, int]:
-    """Whether a text was cut and how many characters are known to follow.
+def evidence(words: str, model: str | None, siblings: list[tuple[str, str, str]]) -> tuple[float, float, int, bool, str]:
+    """The least costs of going on and of ending, the characters that follow, whether anything compares, and which
+    text goes on at least cost.
 
     ``siblings``: texts of the utterance with the first and last of the models that delivered them.
     """
@@ -122,7 +124,7 @@ def judge(words: str, model: str | None, siblings: list[tuple[str, str, str]], u
     forms_x = [x] if len(set(x)) == len(x) else [x, without_loops(x)]
     if len(forms_x) > 1 and forms_x[1] == x:
         forms_x.pop()
-    on, end, rest, compared = 99.0, 99.0, 0, False
+    on, end, rest, compared, by = 99.0, 99.0, 0, False, ""
     for text, first, last in siblings:
         if text == words:
             if first != model or last != model:
@@ -149,9 +151,14 @@ def judge(words: str, model: str | None, siblings: list[tuple[str, str, str]], u
                 looped = not part and after and all(any(unlike(w, y) <= 0.25 for y in a[-8:]) for w in after)
                 if (part or after) and not looped:
                     if cost < on:
-                        on, rest = cost, part + sum(len(w) + 1 for w in after)
+                        on, rest, by = cost, part + sum(len(w) + 1 for w in after), text
                 else:
                     end = min(end, cost)
+    return on, end, rest, compared, by
+
+
+def verdict(on: float, end: float, rest: int, compared: bool, unfinished: bool, closed: bool) -> tuple[bool, int]:
+    """Whether a text was cut and how many characters are known to follow."""
     if not compared:
         return unfinished and not closed, 0
     # whoever ends where this text ends may have been cut there too: only an alignment that is clearly worse loses
@@ -165,6 +172,11 @@ def _spoken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b[["row", "id", "model"]].assign(words=[" ".join(w) for w in words], last=[w[-1] if w else None for w in words], closed=[bool(_CLOSED.search(t or "")) for t in b["t"]])
 
 
+def judge(words: str, model: str | None, siblings: list[tuple[str, str, str]], unfinished: bool, closed: bool) -> tuple[bool, int]:
+    """``verdict`` on all texts of the utterance at once."""
+    return verdict(*evidence(words, model, siblings)[:4], unfinished, closed)
+
+
 def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = [
@@ -174,6 +186,38 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b[["row", "model"]].assign(cut=[x for x, _ in out], n_missing=[n for _, n in out])
 
 
+def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = [evidence(w, m, [(s["words"], s["lo"], s["hi"]) for s in sib]) for w, m, sib in zip(b["words"], b["model"], b["siblings"])]
+        columns = dict(zip(("on", "end", "rest", "compared", "by"), zip(*out))) if out else {}
+        yield b[["at"]].assign(**{c: list(columns.get(c, ())) for c in ("on", "end", "rest", "compared", "by")})
+
+
+def _decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = [verdict(*x) for x in zip(b["on"], b["end"], b["rest"], b["compared"], b["unfinished"], b["closed"])]
+        yield b[["row", "model"]].assign(cut=[x for x, _ in out], n_missing=[n for _, n in out])
+
+
+def _in_slices(rows: DataFrame, texts: DataFrame, sizes: DataFrame, n_rows: int) -> DataFrame:
+    """Verdicts on the rows of utterances with many texts: the least costs over slices of the texts.
+
+    Rows are salted, so that an utterance with a large part of all rows is no single task either.
+    """
+    salts = F.ceil(F.col("n_rows") / SLICE_ROWS)
+    numbered = cut(rows.withColumn("at", F.monotonically_increasing_id()))
+    placed = attach_by_key(numbered.select("at", "id", "model", "words"), sizes, "id", "n_rows", n_rows)
+    placed = placed.select("at", "id", "model", "words", F.pmod(F.xxhash64("at"), salts).alias("salt"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("slice"))
+    slices = texts.groupBy("id", "slice").agg(F.sort_array(F.collect_list(F.struct((-F.length("words")).alias("order"), "words", "lo", "hi"))).alias("siblings"), F.first("n_rows").alias("n_rows"))
+    slices = slices.select("id", "slice", "siblings", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"))
+    parts = placed.join(slices, ["id", "slice", "salt"]).select("at", "model", "words", "siblings").mapInPandas(_compared, "at bigint, on double, end double, rest bigint, compared boolean, by string")
+    # of equal costs the longest text's counts, as it does inside a slice
+    best = F.min(F.struct("on", (-F.length("by")).alias("order"), "by", "rest"))
+    least = parts.groupBy("at").agg(best.alias("best"), F.min("end").alias("end"), F.max("compared").alias("compared"))
+    joined = numbered.join(least, "at").select("row", "model", "unfinished", "closed", "best.on", "end", "best.rest", "compared")
+    return joined.mapInPandas(_decided, "row bigint, model string, cut boolean, n_missing bigint")
+
+
 def vocabulary_trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(word) of the known words, and (node, n_below): the inner nodes of their trie with the known words below each."""
     counted = words.select(F.explode(F.slice(F.split("words", " "), 1, F.greatest(F.lit(0), F.size(F.split("words", " ")) - 1))).alias("word"))
@@ -196,17 +240,22 @@ def truncations(df: DataFrame, references: DataFrame | None, row_col: str, id_co
     unknown = final.join(known, "word", "left_anti")
     unfinished = unknown.join(trie, unknown["word"] == trie["node"], "left_semi").select(F.col("word").alias("last"), F.lit(True).alias("unfinished"))
     texts = said.filter("id IS NOT NULL").groupBy("id", "words").agg(F.min("model").alias("lo"), F.max("model").alias("hi"), F.count(F.lit(1)).alias("n"))
-    # ranking by length keeps MOST_SIBLINGS texts an utterance already before the shuffle, however often it was delivered
-    longest = Window.partitionBy("id").orderBy(F.length("words").desc(), "words")
-    siblings = texts.withColumn("r", F.row_number().over(longest)).filter(F.col("r") <= MOST_SIBLINGS).groupBy("id").agg(F.collect_list(F.struct("words", "lo", "hi")).alias("siblings"))
-    sizes = texts.groupBy("id").agg(F.sum("n").alias("n_rows"))
-    facts = cut(siblings.join(sizes, "id"))
+    sizes = cut(texts.groupBy("id").agg(F.sum("n").alias("n_rows"), F.ceil(F.count(F.lit(1)) / SLICE_TEXTS).alias("parts")))
+    few = texts.join(sizes.filter("parts = 1"), "id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.length("words")).alias("order"), "words", "lo", "hi"))).alias("siblings"), F.first("n_rows").alias("n_rows"))
+    facts = cut(few)
+    many = sizes.filter("parts > 1")
     marked = rows.join(unfinished, "last", "left").select("row", "id", "model", "words", "closed", F.coalesce("unfinished", F.lit(False)).alias("unfinished"))
     marked = cut(marked)
-    linked = attach_by_key(marked.filter("id IS NOT NULL"), facts, "id", "n_rows", marked.count())
-    alone = marked.filter("id IS NULL").withColumn("siblings", F.lit(None).cast("array<struct<words:string,lo:string,hi:string>>"))
+    n_rows = marked.count()
+    linked = attach_by_key(marked.filter("id IS NOT NULL"), facts, "id", "n_rows", n_rows)
+    alone = marked.filter("id IS NULL").withColumn("siblings", F.lit(None).cast("array<struct<order:int,words:string,lo:string,hi:string>>"))
     ready = linked.select("row", "model", "words", "closed", "unfinished", "siblings").unionByName(alone.select("row", "model", "words", "closed", "unfinished", "siblings"))
-    return ready.mapInPandas(_judged, "row bigint, model string, cut boolean, n_missing bigint")
+    judged = ready.mapInPandas(_judged, "row bigint, model string, cut boolean, n_missing bigint")
+    if many.isEmpty():
+        return judged
+    sliced = texts.join(many, "id").withColumn("slice", F.pmod(F.xxhash64("words"), F.col("parts")))
+    rest = marked.join(many.select("id"), "id", "left_semi")
+    return judged.unionByName(_in_slices(rest, sliced, many, n_rows))
 
 
 def truncation_rates(df: DataFrame, references: DataFrame | None, row_col: str, id_col: str, model_col: str, text_col: str) -> DataFrame:
