@@ -399,3 +399,11 @@ def test_oracles_agree(spark, data):
         names = [x[0] for x in result.description]
         rows = sorted(map(repr, result.fetchall()))
         assert sorted(repr(tuple(r[c] for c in names)) for r in QUERIES[name](spark, data).collect()) == rows
+
+
+def test_pairs_are_counted_in_every_document():
+    import pandas as pd
+
+    about, passing = "the tax rises now. the tax rises again.", "we saw the tax rises here. birds sing all day. rain falls every day. wind blows every day. snow melts every day. the sun shines. the moon shines. a dog barks."
+    counted = pd.concat(subjects._train(iter([pd.DataFrame({"t": [about, passing, passing]})]), {"tax": (0,)}, 1)).set_index("gram")
+    assert counted.loc["tax rises"].tolist() == [3, 1] == counted.loc["tax"].tolist()
