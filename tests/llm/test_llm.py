@@ -4,10 +4,12 @@ import itertools
 import random
 import unicodedata
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from verbatica.llm import allocation, crosssplit, formatting, leakage, lookalike, mixing, subjects, tokens, truncation
+from verbatica.llm import allocation, crosssplit, formatting, leakage, lookalike, minhash, mixing, subjects, tokens, truncation
 
 
 def pairs(df, *columns):
@@ -145,7 +147,7 @@ def test_overlaps_against_brute_force(spark):
     assert sure <= got
 
 
-def test_overlaps_at_the_limit_are_all_found(spark):
+def test_comparing_all_pairs_finds_every_overlap(spark):
     rng = random.Random(11)
     syllables = ["ba", "ko", "mi", "lu", "no", "te", "ndi", "sa", "zu", "gwe"]
     rows, want = [], set()
@@ -159,12 +161,66 @@ def test_overlaps_at_the_limit_are_all_found(spark):
         want.add((2 * i, 2 * i + 1))
     rows += [(900, "ba" * 40, False), (901, "ba" * 33, True), (902, "ba" * 31, True)]
     df = with_clashes(spark.createDataFrame(rows, "row_no bigint, transcription string, is_held boolean"))
-    got = set(pairs(crosssplit.overlap_pairs(df, "row_no", "transcription", F.col("is_held")), "train_id", "held_id"))
+    got = set(pairs(crosssplit.overlap_pairs(df, "row_no", "transcription", F.col("is_held"), complete=True), "train_id", "held_id"))
     letters = {(i, h): t for i, t, h in rows}
     brute = {(a, b) for (a, ha), x in letters.items() for (b, hb), y in letters.items() if not ha and hb and 5 * edits(x, y) <= max(len(x), len(y))}
     assert want <= brute and got == brute
 
 
+@pytest.mark.parametrize("part,least", [(0.1, 0.995), (0.15, 0.98), (0.2, 0.92)])
+def test_bands_and_sketches_find_nearly_all(part, least):
+    rng = random.Random(5)
+    syllables = ["ba", "ko", "mi", "lu", "no", "te", "ndi", "sa", "zu", "gwe", "ŋa", "chi", "pfu", "hre"]
+    texts = ["".join(rng.choices(syllables, k=90))[: rng.choice([25, 40, 60, 90, 150])] for _ in range(1000)]
+    others = []
+    for t in texts:
+        other = list(t)
+        for j in rng.sample(range(len(t)), int(part * len(t) + 1e-9)):
+            other[j] = rng.choice("abdefgiklmnostuz")
+        others.append("".join(other))
+    n = len(texts)
+    packed = minhash._packed(np.arange(2 * n), texts + others, np.array([1] * n + [2] * n), 0.2, 1 << minhash.KEY_BITS)
+    matched = pd.concat(minhash._matched(iter([packed]), 0.2))
+    found = set(zip(matched["t"], matched["h"]))
+    assert sum((i, n + i) in found for i in range(n)) >= least * n
+    assert len(found) < 2 * n  # few others
+
+
+def test_hot_keys_leave_in_slices(spark, monkeypatch):
+    texts = [f"mangabolukunzelikembatosala{i:02d}" for i in range(60)]
+    classes = spark.createDataFrame([(i, t, 1 + i % 2) for i, t in enumerate(texts)], "cid bigint, letters string, side int")
+    usual = set(pairs(minhash.candidates(classes, 0.2), "t", "h"))
+    assert usual == {(i, j) for i in range(0, 60, 2) for j in range(1, 60, 2)}
+    assert len(list(minhash._matched(iter([minhash._packed(np.arange(60), texts, np.array([1, 2] * 30), 0.2, 1 << 48)]), 0.2))) == 1
+    for name, value in {"HOT": 8, "SLICE": 4, "RANGE_KEYS": 50}.items():
+        monkeypatch.setattr(minhash, name, value)
+    sliced = pd.concat(minhash._matched(iter([minhash._packed(np.arange(60), texts, np.array([1, 2] * 30), 0.2, 1 << 48)] * 2), 0.2))
+    sides = sliced[sliced["side"] > 0]
+    assert len(sides) > 10 and sides["cids"].str.len().max() <= 32 and not sides.duplicated(["key", "side", "slice"]).any()
+    crossed = sides[sides["side"] == 1].merge(sides[sides["side"] == 2], on="key", suffixes=("", "_h"))
+    met = pd.concat(minhash._crossed(iter([crossed]), 0.2))
+    rest = sliced[sliced["side"] == 0]
+    assert set(zip(met["t"], met["h"])) | set(zip(rest["t"], rest["h"])) == usual
+
+
+def test_letters_of_many_texts():
+    texts = ["ﬁn Ⅳ x\n yＡ\u200bｂ！", "𝐇𝐞𝐥𝐥𝐨 ｶﾞ", "", "ǅ ß ŉ İstanbul", "Ὀδυσσεύς ΑΎΤΟ", "plain, text 12", "ndɔ́ɛ̂ \U0001f642", "x" * 50_000, "\n\n", "е\u0301té"]
+    marks = lambda t: sum(unicodedata.category(c)[0] == "M" for c in t)
+    assert crosssplit.read_letters_of(texts) == [(x, len(x) - marks(x)) for x in map(crosssplit.read_letters, texts)]
+    assert crosssplit.read_letters_of([]) == []
+
+
+def test_jaccard_rejects_only_what_is_too_far():
+    rng = random.Random(3)
+    x = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(12, 60))) for _ in range(300)]
+    y = ["".join(c if rng.random() > 0.15 else rng.choice("abcdefghijklmnopq") for c in t) for t in x[:150]] + x[:150][::-1]
+    got = pd.concat(crosssplit._similar(iter([pd.DataFrame({"x": x, "y": y})]), 0.2))
+    near = {i for i in range(300) if edits(x[i], y[i]) <= int(0.2 * max(len(x[i]), len(y[i])) + 1e-9)}
+    assert near <= set(got.index) and len(got) < 250
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    assert all(abs(r.jaccard - len(grams(r.x) & grams(r.y)) / len(grams(r.x) | grams(r.y))) < 1e-12 for r in got.itertuples())
+
+
 def test_overlap_report_counts_hot_copies(spark):
     text = "manga bokulu nze likemba tosala"
     rows = [(i, text, False, "train", "s") for i in range(300)] + [(1000 + i, text.upper(), True, "dev", "e") for i in range(5)] + [(2000, "kitu kingine kabisa hapa leo", True, "dev", "e")]
@@ -268,6 +324,19 @@ def test_lookalike_pairs(spark):
     assert lookalike.lookalike_pairs(df.limit(0), "row_no", "transcription").count() == 0
 
 
+def test_rows_of_a_large_form_meet_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "SLICE_ROWS", 7)
+    spelled = ["mabele ya koko te", "mаbele ya koko te", "mabele ya kоko te"]
+    rows = [(i, spelled[i % 3]) for i in range(60)]
+    got = pairs(lookalike.lookalike_pairs(spark.createDataFrame(rows, "row_no bigint, t string"), "row_no", "t"), "a", "b")
+    assert got == sorted((i, j) for i in range(60) for j in range(i + 1, 60) if i % 3 != j % 3)
+
+
+def test_styled_and_joined_forms():
+    assert lookalike.consistent_form("𝐇𝑖 𝟙Ⅳ ﬁ ｶﾞ ℂ") == "Hi 1IV fi ガ C" and lookalike.consistent_form("x² ½ ①") == "x² ½ ①"
+    assert lookalike.consistent_form("ոօ ᎪᎢ") == "no AT"
+
+
 # ---- 7 ----------------------------------------------------------------------------------------------------------
 
 
