@@ -6,21 +6,24 @@ is an unknown proper prefix of known words. Length evidence comes from the other
 reference: the text is aligned word by word with the beginning of each, and either ends where they end, or they go on
 after what it aligns with, inside the last word or behind it.
 
-A text is cut when the best alignment that goes on is not clearly worse than the best one that ends (what ends in the
-same place may have been cut there too), with more room if the trie calls its last token an unfinished word; and
-without any other delivery to compare with, if the trie does and no closing punctuation follows. Repeated phrases count once, so that a finished loop neither makes a text longer
+Both are scores that are added: by how much less it costs to go on than to end, and a fixed worth of a last token that
+the trie calls an unfinished word. A text is cut when the sum is not clearly negative (what ends in the same place may
+have been cut there too); without any other delivery to compare with, when the trie calls it unfinished and no closing
+punctuation follows. Repeated phrases count once, so that a finished loop neither makes a text longer
 nor its siblings cut; what trails off at the end of the utterance ends where the others end.
 
 Defined results: null, empty and artifact-only texts are never cut, but count as rows; rows with a null identifier
-have no siblings; a null group is a group; equal rows are judged alike, each for itself; texts are compared with
-all other texts of their utterance and with its reference, in slices where there are many; an empty table gives an empty result; other columns are
-not looked at. Texts are read whole.
+have no siblings; a null group is a group; equal rows are judged alike, each for itself; every
+different text of an utterance is compared once with all others and with its reference, in slices where there are
+many; an empty table gives an empty result; other columns are not looked at. Texts are read whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 from ..operators.skew import attach_by_key
 from ..session import cut
 
-#: Texts of an utterance, and rows, that meet in one piece of work.
-SLICE_TEXTS, SLICE_ROWS = 64, 1000
+#: Texts of an utterance that meet in one piece of work; the longest phrase that is looked at as a loop.
+SLICE_TEXTS, LOOP = 64, 8
+#: What going on may cost more than ending, and what an unfinished last word is worth; no alignment costs so much.
+SLACK, TRIE_SCORE, _NEVER = 0.5, 0.4, 99.0
 #: A word is known from so many rows, in which it is not the last one.
 KNOWN_FROM = 3
 _ARTIFACT = regex.compile(r"<\|[^|>]*(?:\|>|\|?$)|\[[^\]]*(?:\]|$)|\([^)]*\)|♪")
@@ -48,7 +53,7 @@ def spoken_words(text: str | None) -> list[str]:
     return _BETWEEN.sub(" ", _APOSTROPHE.sub("", bare)).split()
 
 
-def without_loops(words: list[str], times: int = 3, longest: int = 8) -> list[str]:
+def without_loops(words: list[str], times: int = 3, longest: int = LOOP) -> list[str]:
     """Phrases of up to ``longest`` words said at least ``times`` times in a row are kept once, a begun repeat not."""
     out: list[str] = []
     i, n = 0, len(words)
@@ -72,6 +77,7 @@ def without_loops(words: list[str], times: int = 3, longest: int = 8) -> list[st
     return out
 
 
+@lru_cache(maxsize=1 << 17)
 def unlike(a: str, b: str) -> float:
     """0 for the same word, 1 for another, between them for a slip."""
     if a == b:
@@ -84,23 +90,36 @@ def unlike(a: str, b: str) -> float:
     return 0.5 if a[:3] == b[:3] or a[-3:] == b[-3:] else 1.0
 
 
-def align_prefix(x: list[str], s: list[str]) -> tuple[float, int, int]:
+def align_prefix(x: list[str], s: list[str], most: float) -> tuple[float, int, int] | None:
     """Cost of ``x`` against the beginning of ``s``, the number of words of ``s`` it takes, and how many characters of
-    the last of them are missing."""
-    m = len(s)
-    before = [0.8 * j for j in range(m + 1)]
-    for a in x[:-1]:
-        row = [before[0] + 1.0]
-        for j in range(1, m + 1):
-            b = s[j - 1]
-            best = before[j - 1]
-            if a != b:
-                best += unlike(a, b)
-            best = min(best, before[j] + 1.0, row[-1] + 0.8)
-            row.append(best)
-        before = row
-    last, found = x[-1], (1e9, 0, 0)
-    for j in range(1, m + 1):
+    the last of them are missing; None if it costs more than ``most``.
+
+    Only the cells of the table that cost no more are filled.
+    """
+    m, n, k = len(s), len(x), 0
+    while k < n - 1 and k < m and x[k] == s[k]:
+        k += 1
+    lo, before = k, [0.8 * t for t in range(min(m - k, int(most / 0.8)) + 1)]
+    for a in x[k:-1]:
+        row: list[float] = []
+        diagonal = left = _NEVER
+        for j in range(lo, m + 1):
+            up = before[j - lo] if j - lo < len(before) else _NEVER
+            best = up + 1.0
+            if diagonal <= most:
+                best = min(best, diagonal if a == s[j - 1] else diagonal + unlike(a, s[j - 1]))
+            best = min(best, left + 0.8)
+            left = best if best <= most else _NEVER
+            diagonal = up
+            row.append(left)
+            if left == up == _NEVER and j - lo >= len(before):
+                break
+        first = next((t for t, v in enumerate(row) if v <= most), None)
+        if first is None:
+            return None
+        lo, before = lo + first, row[first:]
+    last, found = x[-1], (_NEVER, 0, 0)
+    for j in range(max(lo, 0) + 1, min(m, lo + len(before)) + 1):
         b, part = s[j - 1], 0
         if last == b:
             c = 0.0
@@ -108,114 +127,108 @@ def align_prefix(x: list[str], s: list[str]) -> tuple[float, int, int]:
             c, part = (0.05 if b.startswith(last) else 0.3), len(b) - len(last)
         else:
             c = unlike(last, b)
-        if before[j - 1] + c <= found[0] + 1e-9:
-            found = (before[j - 1] + c, j, part)
-    j = min(range(m + 1), key=lambda j: (before[j], -j))
-    return min(found, (before[j] + 1.0, j, 0))
+        if before[j - 1 - lo] + c <= found[0] + 1e-9:
+            found = (before[j - 1 - lo] + c, j, part)
+    t = min(range(len(before)), key=lambda t: (before[t], -t))
+    found = min(found, (before[t] + 1.0, lo + t, 0))
+    return found if found[0] <= most else None
 
 
-def evidence(words: str, model: str | None, siblings: list[tuple[str, str, str]]) -> tuple[float, float, int, bool, str]:
-    """The least costs of going on and of ending, the characters that follow, whether anything compares, and which
-    text goes on at least cost.
+def _forms(words: list[str]) -> list[list[str]]:
+    """The words, and the words without their loops where there are any."""
+    if len(set(words)) == len(words):
+        return [words]
+    bare = without_loops(words)
+    return [words] if bare == words else [words, bare]
 
-    ``siblings``: texts of the utterance with the first and last of the models that delivered them.
-    """
-    x = words.split(" ")
-    forms_x = [x] if len(set(x)) == len(x) else [x, without_loops(x)]
-    if len(forms_x) > 1 and forms_x[1] == x:
-        forms_x.pop()
-    on, end, rest, compared, by = 99.0, 99.0, 0, False, ""
-    for text, first, last in siblings:
-        if text == words:
-            if first != model or last != model:
+
+def evidence(x: Text, others: list[Text]) -> tuple[float, float, int, bool, str]:
+    """The least costs of going on and of ending, the characters that follow, whether anything compares, and which
+    text goes on at least cost."""
+    on, end, rest, compared, by = _NEVER, _NEVER, 0, False, ""
+    words = x.words
+    for o in others:
+        if o.text == x.text:
+            if x.several:
                 end, compared = 0.0, True
             continue
-        s = text.split(" ")
-        if len(x) > 2 and len(s) > 2 and abs(len(x) - len(s)) <= 2:
-            c = sum(map(unlike, x[-3:], s[-3:]))
-            if c <= 0.5 and x[-1][-1] == s[-1][-1] and len(x[-1]) >= len(s[-1]):
+        s = o.words
+        if len(words) > 2 and len(s) > 2 and abs(len(words) - len(s)) <= 2 and words[-1][-1] == s[-1][-1] and len(words[-1]) >= len(s[-1]):
+            c = sum(map(unlike, words[-3:], s[-3:]))
+            if c <= 0.5:
                 end, compared = min(end, c), True
                 continue
-        if len(text) + 12 < len(words):
-            continue
-        forms_s = [s] if len(set(s)) == len(s) else [s, without_loops(s)]
-        if len(forms_s) > 1 and forms_s[1] == s:
-            forms_s.pop()
-        for a in forms_x:
-            for b in forms_s:
-                cost, j, part = align_prefix(a, b)
-                if cost > 0.2 * len(a) + 0.7:
+        for a in x.forms:
+            most = 0.2 * len(a) + 0.7
+            for b in o.forms:
+                if len(a) - len(b) > most:
+                    continue
+                found = align_prefix(a, b, most)
+                if found is None:
                     continue
+                cost, j, part = found
                 compared = True
                 after = b[j:]
-                looped = not part and after and all(any(unlike(w, y) <= 0.25 for y in a[-8:]) for w in after)
+                looped = not part and after and all(any(unlike(w, y) <= 0.25 for y in a[-LOOP:]) for w in after)
                 if (part or after) and not looped:
-                    if cost < on:
-                        on, rest, by = cost, part + sum(len(w) + 1 for w in after), text
+                    if cost < on or (cost == on and (len(o.text), o.text) > (len(by), by)):
+                        on, rest, by = cost, part + sum(len(w) + 1 for w in after), o.text
                 else:
                     end = min(end, cost)
     return on, end, rest, compared, by
 
 
-def verdict(on: float, end: float, rest: int, compared: bool, unfinished: bool, closed: bool) -> tuple[bool, int]:
-    """Whether a text was cut and how many characters are known to follow."""
-    if not compared:
-        return unfinished and not closed, 0
-    # whoever ends where this text ends may have been cut there too: only an alignment that is clearly worse loses
-    is_cut = on < end + (0.9 if unfinished else 0.5)
-    return is_cut, rest if is_cut else 0
+class Text:
+    """A text of an utterance; ``several``: more than one model, or the reference, has it."""
+
+    __slots__ = ("forms", "several", "text", "words")
+
+    def __init__(self, text: str, several: bool) -> None:
+        self.text, self.several, self.words = text, several, text.split(" ")
+        self.forms = _forms(self.words)
 
 
 def _spoken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         words = [spoken_words(t) for t in b["t"]]
-        yield b[["row", "id", "model"]].assign(words=[" ".join(w) for w in words], last=[w[-1] if w else None for w in words], closed=[bool(_CLOSED.search(t or "")) for t in b["t"]])
-
-
-def judge(words: str, model: str | None, siblings: list[tuple[str, str, str]], unfinished: bool, closed: bool) -> tuple[bool, int]:
-    """``verdict`` on all texts of the utterance at once."""
-    return verdict(*evidence(words, model, siblings)[:4], unfinished, closed)
+        joined = [" ".join(w) for w in words]
+        names = [hashlib.blake2b(f"{i}\0{w}".encode("utf-8", "surrogatepass"), digest_size=16).digest() for i, w in zip(b["id"], joined)]
+        yield b[["row", "id", "model"]].assign(words=joined, last=[w[-1] if w else None for w in words], closed=[bool(_CLOSED.search(t or "")) for t in b["t"]], said=names)
 
 
-def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = [
-            judge(w, m, [(s["words"], s["lo"], s["hi"]) for s in (sib if sib is not None else [])], u, c)
-            for w, m, sib, u, c in zip(b["words"], b["model"], b["siblings"], b["unfinished"], b["closed"])
-        ]
-        yield b[["row", "model"]].assign(cut=[x for x, _ in out], n_missing=[n for _, n in out])
+EVIDENCE = ["said", "on", "end", "rest", "compared", "by"]
 
 
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The evidence on every delivered text of ``asking`` from the texts of ``others``; without these, from its own."""
     for b in batches:
-        out = [evidence(w, m, [(s["words"], s["lo"], s["hi"]) for s in sib]) for w, m, sib in zip(b["words"], b["model"], b["siblings"])]
-        columns = dict(zip(("on", "end", "rest", "compared", "by"), zip(*out))) if out else {}
-        yield b[["at"]].assign(**{c: list(columns.get(c, ())) for c in ("on", "end", "rest", "compared", "by")})
-
-
-def _decided(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = [verdict(*x) for x in zip(b["on"], b["end"], b["rest"], b["compared"], b["unfinished"], b["closed"])]
-        yield b[["row", "model"]].assign(cut=[x for x, _ in out], n_missing=[n for _, n in out])
+        others = b["others"] if "others" in b else b["asking"]
+        for asking, known in zip(b["asking"], others):
+            texts = [Text(o["words"], o["several"]) for o in known]
+            mine = texts if known is asking else [Text(o["words"], o["several"]) for o in asking]
+            out = [(o["said"], *evidence(x, texts)) for o, x in zip(asking, mine) if o["delivered"]]
+            yield pd.DataFrame(out, columns=EVIDENCE)
 
 
-def _in_slices(rows: DataFrame, texts: DataFrame, sizes: DataFrame, n_rows: int) -> DataFrame:
-    """Verdicts on the rows of utterances with many texts: the least costs over slices of the texts.
+def _evidence(texts: DataFrame) -> DataFrame:
+    """Evidence on every delivered text of every utterance, each text compared with each other one once.
 
-    Rows are salted, so that an utterance with a large part of all rows is no single task either.
+    The texts of an utterance meet in one piece of work, or in slices two by two where there are many.
     """
-    salts = F.ceil(F.col("n_rows") / SLICE_ROWS)
-    numbered = cut(rows.withColumn("at", F.monotonically_increasing_id()))
-    placed = attach_by_key(numbered.select("at", "id", "model", "words"), sizes, "id", "n_rows", n_rows)
-    placed = placed.select("at", "id", "model", "words", F.pmod(F.xxhash64("at"), salts).alias("salt"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("slice"))
-    slices = texts.groupBy("id", "slice").agg(F.sort_array(F.collect_list(F.struct((-F.length("words")).alias("order"), "words", "lo", "hi"))).alias("siblings"), F.first("n_rows").alias("n_rows"))
-    slices = slices.select("id", "slice", "siblings", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("salt"))
-    parts = placed.join(slices, ["id", "slice", "salt"]).select("at", "model", "words", "siblings").mapInPandas(_compared, "at bigint, on double, end double, rest bigint, compared boolean, by string")
+    schema = "said binary, on double, end double, rest bigint, compared boolean, by string"
+    sizes = cut(texts.groupBy("id").agg(F.ceil(F.count(F.lit(1)) / SLICE_TEXTS).alias("parts")).filter("parts > 1"))
+    item = F.collect_list(F.struct("said", "words", "several", "delivered"))
+    if sizes.isEmpty():
+        return texts.groupBy("id").agg(item.alias("asking")).select("asking").mapInPandas(_compared, schema).drop("by")
+    few = texts.join(sizes, "id", "left_anti").groupBy("id").agg(item.alias("asking")).select("asking").mapInPandas(_compared, schema)
+    sliced = texts.join(sizes, "id").withColumn("slice", F.pmod(F.xxhash64("said"), F.col("parts"))).groupBy("id", "slice").agg(item.alias("asking"), F.first("parts").alias("parts"))
+    sliced = cut(sliced)
+    met = sliced.select("id", "asking", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("slice")).join(sliced.select("id", "slice", F.col("asking").alias("others")), ["id", "slice"])
+    parts = met.select("asking", "others").mapInPandas(_compared, schema)
     # of equal costs the longest text's counts, as it does inside a slice
-    best = F.min(F.struct("on", (-F.length("by")).alias("order"), "by", "rest"))
-    least = parts.groupBy("at").agg(best.alias("best"), F.min("end").alias("end"), F.max("compared").alias("compared"))
-    joined = numbered.join(least, "at").select("row", "model", "unfinished", "closed", "best.on", "end", "best.rest", "compared")
-    return joined.mapInPandas(_decided, "row bigint, model string, cut boolean, n_missing bigint")
+    best = F.min(F.struct("on", (-F.length("by")).alias("order"), F.lit(0).alias("tie"), "rest"))
+    least = parts.groupBy("said").agg(best.alias("best"), F.min("end").alias("end"), F.max("compared").alias("compared"))
+    return few.drop("by").unionByName(least.select("said", "best.on", "end", "best.rest", "compared"))
 
 
 def vocabulary_trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -227,35 +240,33 @@ def vocabulary_trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def truncations(df: DataFrame, references: DataFrame | None, row_col: str, id_col: str, model_col: str, text_col: str, ref_id: str = "id", ref_text: str = "target") -> DataFrame:
-    """(row, model, cut, n_missing): every row with words, whether it was cut and the characters known to follow."""
+    """(row, model, cut, n_missing, length_score, trie_score): every row with words, whether it was cut, the characters
+    known to follow and the two scores it was judged by."""
     picked = df.select(F.col(f"`{row_col}`").cast("bigint").alias("row"), F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{model_col}`").cast("string").alias("model"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    schema = "row bigint, id string, model string, words string, last string, closed boolean"
+    schema = "row bigint, id string, model string, words string, last string, closed boolean, said binary"
     rows = cut(picked.mapInPandas(_spoken, schema).filter("last IS NOT NULL"))
-    said = rows.select("id", F.coalesce("model", F.lit("")).alias("model"), "words")
+    said = rows.select("said", "id", F.coalesce("model", F.lit("")).alias("model"), "words", F.lit(True).alias("delivered"))
     if references is not None:
         given = references.select(F.lit(None).cast("bigint").alias("row"), F.col(f"`{ref_id}`").cast("string").alias("id"), F.lit("=reference").alias("model"), F.col(f"`{ref_text}`").cast("string").alias("t"))
-        said = said.unionByName(given.mapInPandas(_spoken, schema).filter("last IS NOT NULL").select("id", "model", "words"))
+        said = said.unionByName(given.mapInPandas(_spoken, schema).filter("last IS NOT NULL").select("said", "id", "model", "words", F.lit(False).alias("delivered")))
     known, trie = vocabulary_trie(rows.select("words"))
     final = rows.select(F.col("last").alias("word")).distinct()
     unknown = final.join(known, "word", "left_anti")
     unfinished = unknown.join(trie, unknown["word"] == trie["node"], "left_semi").select(F.col("word").alias("last"), F.lit(True).alias("unfinished"))
-    texts = said.filter("id IS NOT NULL").groupBy("id", "words").agg(F.min("model").alias("lo"), F.max("model").alias("hi"), F.count(F.lit(1)).alias("n"))
-    sizes = cut(texts.groupBy("id").agg(F.sum("n").alias("n_rows"), F.ceil(F.count(F.lit(1)) / SLICE_TEXTS).alias("parts")))
-    few = texts.join(sizes.filter("parts = 1"), "id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.length("words")).alias("order"), "words", "lo", "hi"))).alias("siblings"), F.first("n_rows").alias("n_rows"))
-    facts = cut(few)
-    many = sizes.filter("parts > 1")
-    marked = rows.join(unfinished, "last", "left").select("row", "id", "model", "words", "closed", F.coalesce("unfinished", F.lit(False)).alias("unfinished"))
-    marked = cut(marked)
-    n_rows = marked.count()
-    linked = attach_by_key(marked.filter("id IS NOT NULL"), facts, "id", "n_rows", n_rows)
-    alone = marked.filter("id IS NULL").withColumn("siblings", F.lit(None).cast("array<struct<order:int,words:string,lo:string,hi:string>>"))
-    ready = linked.select("row", "model", "words", "closed", "unfinished", "siblings").unionByName(alone.select("row", "model", "words", "closed", "unfinished", "siblings"))
-    judged = ready.mapInPandas(_judged, "row bigint, model string, cut boolean, n_missing bigint")
-    if many.isEmpty():
-        return judged
-    sliced = texts.join(many, "id").withColumn("slice", F.pmod(F.xxhash64("words"), F.col("parts")))
-    rest = marked.join(many.select("id"), "id", "left_semi")
-    return judged.unionByName(_in_slices(rest, sliced, many, n_rows))
+    texts = said.filter("id IS NOT NULL").groupBy("said").agg(F.first("id").alias("id"), F.first("words").alias("words"), (F.min("model") < F.max("model")).alias("several"), F.count_if("delivered").alias("n"))
+    texts = cut(texts.withColumn("delivered", F.col("n") > 0))
+    facts = cut(_evidence(texts.drop("n")).join(texts.filter("delivered").select("said", "n"), "said"))
+    marked = cut(rows.join(unfinished, "last", "left").select("row", "id", "model", "said", "closed", F.coalesce("unfinished", F.lit(False)).alias("unfinished")))
+    linked = attach_by_key(marked.filter("id IS NOT NULL"), facts, "said", "n", marked.count())
+    alone = marked.filter("id IS NULL").select("*", F.lit(False).alias("compared"), F.lit(_NEVER).alias("on"), F.lit(_NEVER).alias("end"), F.lit(0).cast("bigint").alias("rest"))
+    kept = ["row", "model", "closed", "unfinished", "compared", "on", "end", "rest"]
+    judged = linked.select(*kept).unionByName(alone.select(*kept))
+    # whoever ends where this text ends may have been cut there too: going on may cost SLACK more than ending; a last
+    # token that is an unfinished word is worth TRIE_SCORE more, and decides alone where there is nothing to compare
+    judged = judged.withColumns({"length_score": F.when(F.col("compared"), F.col("end") - F.col("on")), "trie_score": F.when(F.col("unfinished"), F.lit(TRIE_SCORE)).otherwise(F.lit(0.0))})
+    is_cut = F.when(F.col("compared"), F.col("length_score") + F.col("trie_score") > -SLACK).otherwise(F.col("unfinished") & ~F.col("closed"))
+    judged = judged.withColumn("cut", is_cut)
+    return judged.select("row", "model", "cut", F.when(F.col("cut") & F.col("compared") & (F.col("on") < _NEVER), F.col("rest")).otherwise(F.lit(0).cast("bigint")).alias("n_missing"), "length_score", "trie_score")
 
 
 def truncation_rates(df: DataFrame, references: DataFrame | None, row_col: str, id_col: str, model_col: str, text_col: str) -> DataFrame:
