@@ -103,19 +103,27 @@ def align_prefix(x: list[str], s: list[str], most: float) -> tuple[float, int, i
     for a in x[k:-1]:
         row: list[float] = []
         diagonal = left = _NEVER
-        for j in range(lo, m + 1):
-            up = before[j - lo] if j - lo < len(before) else _NEVER
+        for up, b in zip(before, s[lo - 1 : lo + len(before)] if lo else ["", *s[: len(before)]]):
             best = up + 1.0
-            if diagonal <= most:
-                best = min(best, diagonal if a == s[j - 1] else diagonal + unlike(a, s[j - 1]))
-            best = min(best, left + 0.8)
+            if diagonal < best:
+                best = diagonal if a == b else min(best, diagonal + unlike(a, b))
+            if left + 0.8 < best:
+                best = left + 0.8
             left = best if best <= most else _NEVER
             diagonal = up
             row.append(left)
-            if left == up == _NEVER and j - lo >= len(before):
+        for b in s[lo + len(before) - 1 :]:
+            best = min(left + 0.8, diagonal if a == b else diagonal + unlike(a, b) if diagonal <= most else _NEVER)
+            if best > most:
                 break
-        first = next((t for t, v in enumerate(row) if v <= most), None)
-        if first is None:
+            row.append(best)
+            left, diagonal = best, _NEVER
+        while row and row[-1] > most:
+            row.pop()
+        first = 0
+        while first < len(row) and row[first] > most:
+            first += 1
+        if first == len(row):
             return None
         lo, before = lo + first, row[first:]
     last, found = x[-1], (_NEVER, 0, 0)
@@ -202,12 +210,13 @@ EVIDENCE = ["said", "on", "end", "rest", "compared", "by"]
 def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The evidence on every delivered text of ``asking`` from the texts of ``others``; without these, from its own."""
     for b in batches:
+        out = []
         others = b["others"] if "others" in b else b["asking"]
         for asking, known in zip(b["asking"], others):
             texts = [Text(o["words"], o["several"]) for o in known]
             mine = texts if known is asking else [Text(o["words"], o["several"]) for o in asking]
-            out = [(o["said"], *evidence(x, texts)) for o, x in zip(asking, mine) if o["delivered"]]
-            yield pd.DataFrame(out, columns=EVIDENCE)
+            out += [(o["said"], *evidence(x, texts)) for o, x in zip(asking, mine) if o["delivered"]]
+        yield pd.DataFrame(out, columns=EVIDENCE)
 
 
 def _evidence(texts: DataFrame) -> DataFrame:
