@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verbatica.functions import editdist, sequence, shape, text, wave
+from verbatica.operators import learn
 
 
 def column(spark, values, kind="string"):
@@ -132,17 +133,62 @@ def test_mono(spark):
     assert [r[0] for r in df.select(wave.mono(F.col("c"))).collect()] == [[2.0, 2.0, 2.0], [2.0, 3.0, 0.0]]
 
 
-def test_vote():
-    assert sequence.vote([("the cat sat", 1.0), ("the bat sat", 1.0), ("the bat sat", 1.0)]) == "the bat sat"
-    assert sequence.vote([("the cat sat", 1.0), ("the bat sat", 1.0)]) == "the cat sat"
-    assert sequence.vote([("the big cat", 1.0), ("the cat", 1.0), ("the cat", 0.5)]) == "the cat"
-    assert sequence.vote([]) == "" and sequence.vote([("", 1.0), ("x", 1.0)]) == ""
+def voted(spark, *hypotheses):
+    rows = [("u", i, t, w) for i, (t, w) in enumerate(hypotheses)]
+    out = learn.rover_texts(spark.createDataFrame(rows, "id string, idx int, text string, w double").drop("w"), {i: w for i, (_, w) in enumerate(hypotheses)}).collect()
+    return [r["text"] for r in out]
+
+
+def test_vote(spark):
+    assert voted(spark, ("the cat sat", 1.0), ("the bat sat", 1.0), ("the bat sat", 1.0)) == ["the bat sat"]
+    assert voted(spark, ("the cat sat", 1.0), ("the bat sat", 1.0)) == ["the cat sat"]
+    assert voted(spark, ("the big cat", 1.0), ("the cat", 1.0), ("the cat", 0.5)) == ["the cat"]
+    assert voted(spark, ("The cat, sat!", 1.0), ("the CAT sat", 3.0)) == ["The cat, sat!"]
+    assert voted(spark, ("a b", 1.0), ("a x b", 5.0)) == ["a b"]  # nothing is inserted
+    assert voted(spark, ("- cat", 1.0), ("cat", 9.0)) == ["- cat"]  # a word without letters is no ballot
+    assert voted(spark, ("", 1.0), ("x", 1.0)) == [""] and voted(spark, (None, 1.0), ("x", 1.0)) == [""]
+    assert voted(spark, ("a b", 1.0), ("c", 2.0), ("c", 2.0)) == ["a b"]  # two words against one: open
 
 
 def test_phrases():
-    assert sequence.replace_phrases("Goat dog, goat", [("goat dog", "goat-dog")]) == "Goat-dog, goat"
-    assert sequence.replace_phrases("a b", [("a b", "")]) == "" and sequence.replace_phrases("", [("a", "b")]) == ""
-    assert sequence.block_errors("a b c".split(), "a x c d".split()) == 2
+    rules = lambda *r: sequence.Phrases(list(r)).apply
+    assert rules(("goat dog", "goat-dog"))("Goat dog, goat") == "Goat-dog, goat"
+    assert rules(("a b", ""))("a b") == "" and rules(("a", "b"))("") == ""
+    assert rules(("a", "x"), ("a b", "y"))("a b a ,A b!? (a b).") == "y x ,Y!? (a b)."
+    assert rules(("a", "b"), ("b", "c"))("a b") == "b c"
+    assert rules(("the", "le grand"))('"The end') == '"The end' and rules(("the", "le grand"))("The end") == "Le grand end"
+    assert rules(("a b c", "x"))("a b a b c") == "a b x" and rules()("a  b") == "a b"
+
+
+def test_stretches_and_block_errors():
+    assert sequence.block_errors("a b c".split(), "a x c d".split()) == 2 and sequence.block_errors("", "abc") == 3 and sequence.block_errors("ab", "ab") == 0
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 9))) for _ in range(2))
+        parts = list(sequence.stretches(a, b))
+        assert "".join(a[x] for x, _, _ in parts) == a and "".join(b[y] for _, y, _ in parts) == b
+        assert all((a[x] == b[y]) == same for x, y, same in parts)
+        assert distance(a, b) <= sequence.block_errors(a, b) <= max(len(a), len(b)) + min(len(a), len(b))
+    assert sequence.exchanged("I saw the dog. today", "i saw a dok today") == [{"said": "a dok", "meant": "the dog"}]
+    assert sequence.exchanged("a b c x", "d e f x") == [] and sequence.exchanged(None, "x") == []
+    assert sequence.placed("a b c", "a x y c") == ["a", None, "c"] and sequence.placed("a b c", "a c") == ["a", "", "c"]
+
+
+def test_mined_rules(spark):
+    rows = [(f"u{i:02d}", "lin", "nzela ya monene", "njela ya monene") for i in range(12)] + [(f"v{i}", "lin", "moto te", "moto ta") for i in range(2)]
+    df = spark.createDataFrame(rows, "id string, language string, ref string, hyp string")
+    rules = learn.mine_rules(df, least=3)
+    assert [(r["said"], r["meant"], r["n"], r["n_reverse"]) for r in rules.collect()] == [("njela", "nzela", 6, 0)]
+    report = learn.rule_report(df, learn.collect_rules(rules)).first()
+    assert (report["words_before"], report["words_after"], report["kept"]) == (7, 1, True)
+
+
+def test_distance_of_very_many_words(spark):
+    a = [f"w{i}" for i in range(36_000)]
+    b = a[:10] + ["x"] + a[11:35_990] + ["y", "z"] + a[35_990:]
+    df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
+    assert df.select(editdist.word_distance(F.slice("a", 35_000, 1001), F.slice("b", 35_000, 1003))).first()[0] == 2
+    assert df.select(editdist.word_distance(F.slice("a", 1, 1000), F.slice("b", 1, 1000))).first()[0] == 1
 
 
 def test_folds_partition(spark):

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .text import bind, tokens
 
-#: The first code point of the alphabet, and how many follow it before the surrogates.
-_BASE, _ROOM = 19968, 35328
+#: The first code point of the alphabet, how many follow it before the surrogates, and how many there are in all with
+#: the planes behind the first.
+_BASE, _NEAR, _ROOM = 19968, 35328, 35328 + (1 << 20)
 
 
 def char_distance(a: Column, b: Column) -> Column:
@@ -20,12 +21,17 @@ def char_distance(a: Column, b: Column) -> Column:
 
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two word arrays (fewer than 35,328 distinct words a pair)."""
+    """Levenshtein distance of two word arrays; with 1,083,904 distinct words or more in a pair the query fails."""
 
     def spelled(p: Column, words: Column) -> Column:
-        letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(_BASE) + F.array_position(words, w)), 4, "0")), "UTF-16BE")
-        spell = lambda x: F.array_join(F.transform(x, letter), "")
-        return F.when(F.size(words) < _ROOM, F.levenshtein(spell(p["a"]), spell(p["b"])))
+        near = lambda at: F.decode(F.unhex(F.lpad(F.hex(F.lit(_BASE) + at), 4, "0")), "UTF-16BE")
+        far = lambda at: F.decode(F.unhex(F.lpad(F.hex(F.lit((1 << 16) - _NEAR) + at), 8, "0")), "UTF-32")
+        spell = lambda x, letter: F.array_join(F.transform(x, lambda w: letter(F.array_position(words, w))), "")
+        any_letter = lambda at: F.when(at < _NEAR, near(at)).otherwise(far(at))
+        short = F.levenshtein(spell(p["a"], near), spell(p["b"], near))
+        long = F.levenshtein(spell(p["a"], any_letter), spell(p["b"], any_letter))
+        too_many = F.raise_error(F.lit(f"a pair of texts has {_ROOM} different words or more")).cast("int")
+        return F.when(F.size(words) < _NEAR, short).when(F.size(words) < _ROOM, long).otherwise(too_many)
 
     # inside a lambda nothing is shared: without the two bindings every word would list the words of the pair anew
     return bind(F.struct(a.alias("a"), b.alias("b")), lambda p: bind(F.array_distinct(F.concat(p["a"], p["b"])), lambda words: spelled(p, words)))

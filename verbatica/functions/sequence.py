@@ -1,18 +1,21 @@
 """Sequence algorithms without a relational form: the package's few Arrow functions.
 
-They rest on the longest-block matching of the standard library, whose choices differ from those of a least edit
-distance, and work on the words of one utterance at a time.
+All rest on the stretches of two sequences that lie between their matching blocks, as the standard library finds them;
+its choices differ from those of a least edit distance. They work on the words of one utterance at a time.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Fixed value: the punctuation that does not count at the ends of a word of a phrase.
+PHRASE_MARKS = ".,!?;:"
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -20,51 +23,42 @@ def bare(word: str) -> str:
     return _EDGES.sub("", word.lower())
 
 
-def vote(hypotheses: list[tuple[str, float]]) -> str:
-    """The first hypothesis with each word outvoted by what the others have in its place.
+def stretches(a: Sequence, b: Sequence) -> Iterator[tuple[slice, slice, bool]]:
+    """The two sequences cut into stretches, side by side, each the same in both or different."""
+    i = j = 0
+    for block in SequenceMatcher(None, a, b).get_matching_blocks():
+        if i < block.a or j < block.b:
+            yield slice(i, block.a), slice(j, block.b), False
+        i, j = block.a + block.size, block.b + block.size
+        if block.size:
+            yield slice(block.a, i), slice(block.b, j), True
 
-    Others vote where their words match the pivot's or replace as many; where they lack words they vote for leaving
-    them out. A word goes only when another choice has strictly more weight; nothing is inserted.
-    """
-    if not hypotheses:
-        return ""
-    pivot = hypotheses[0][0].split()
-    keys = [bare(w) for w in pivot]
-    ballots: list[dict[str, float]] = [{} for _ in pivot]
-    faces: list[dict[str, tuple[float, str]]] = [{} for _ in pivot]
-    for rank, (text, weight) in enumerate(hypotheses):
-        words = text.split()
-        theirs = [bare(w) for w in words]
-        for what, a, b, c, d in SequenceMatcher(None, keys, theirs).get_opcodes():
-            if what == "delete":
-                for at in range(a, b):
-                    ballots[at][""] = ballots[at].get("", 0.0) + weight
-            elif b - a == d - c:
-                for at, k, w in zip(range(a, b), theirs[c:d], words[c:d]):
-                    if k:
-                        ballots[at][k] = ballots[at].get(k, 0.0) + weight
-                        claim = (weight + (100.0 if rank == 0 else 0.0), w)  # the pivot's spelling is preferred
-                        if k not in faces[at] or claim[0] > faces[at][k][0]:
-                            faces[at][k] = claim
-    out = []
-    for word, key, ballot, face in zip(pivot, keys, ballots, faces):
-        winner = max(ballot, key=lambda k: (ballot[k], k == key), default=key)
-        if winner == key or ballot[winner] <= ballot.get(key, 0.0) + 1e-9:
-            out.append(word)
-        elif winner:
-            out.append(face[winner][1])
-    return " ".join(out)
-
-
-@F.pandas_udf(T.StringType())
-def rover(hypotheses: pd.Series) -> pd.Series:
-    """The vote of an ordered array of (text, weight)."""
-    return pd.Series([vote([(h["text"] or "", float(h["weight"])) for h in hs]) if hs is not None else None for hs in hypotheses], dtype=object)
-
-
-def block_errors(reference, hypothesis) -> int:
+
+def width(s: slice) -> int:
+    return s.stop - s.start
+
+
+def placed(pivot: str, other: str) -> list[str | None]:
+    """For every word of ``pivot`` the word of ``other`` in its place: '' where it has none, None where that is open."""
+    theirs = other.split()
+    places: list[str | None] = [None] * len(pivot.split())
+    for p, o, _ in stretches([bare(w) for w in pivot.split()], [bare(w) for w in theirs]):
+        if not width(o):
+            places[p] = [""] * width(p)
+        elif width(p) == width(o):
+            places[p] = theirs[o]
+    return places
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def in_places(pivots: pd.Series, others: pd.Series) -> pd.Series:
+    """``placed`` of two texts; null texts are empty."""
+    return pd.Series([placed(p or "", o or "") for p, o in zip(pivots, others)], dtype=object)
+
+
+def block_errors(reference: Sequence, hypothesis: Sequence) -> int:
     """Errors by matching blocks: of every differing stretch the longer side."""
-    return sum(max(b - a, d - c) for what, a, b, c, d in SequenceMatcher(None, reference, hypothesis).get_opcodes() if what != "equal")
+    return sum(max(width(r), width(h)) for r, h, same in stretches(reference, hypothesis) if not same)
 
 
 @F.pandas_udf(T.StructType([T.StructField("word_errors", T.LongType()), T.StructField("char_errors", T.LongType())]))
@@ -73,51 +67,75 @@ def block_error_counts(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFr
     return pd.DataFrame({"word_errors": [block_errors(r.split(), h.split()) for r, h in pairs], "char_errors": [block_errors(r, h) for r, h in pairs]}, dtype="int64")
 
 
-_SUBSTITUTION = T.ArrayType(T.StructType([T.StructField("said", T.StringType()), T.StructField("meant", T.StringType())]))
+def phrase_words(text: str | None) -> list[str]:
+    return [w.strip(PHRASE_MARKS) for w in (text or "").lower().split()]
+
 
+def exchanged(reference: str | None, hypothesis: str | None, longest: int = 2) -> list[dict[str, str]]:
+    """Stretches of at most ``longest`` words that stand for each other in two texts."""
+    meant, said = phrase_words(reference), phrase_words(hypothesis)
+    sides = [(said[h], meant[r]) for r, h, same in stretches(meant, said) if not same]
+    return [{"said": " ".join(s), "meant": " ".join(m)} for s, m in sides if 0 < len(s) <= longest and 0 < len(m) <= longest]
 
-@F.pandas_udf(_SUBSTITUTION)
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("said", T.StringType()), T.StructField("meant", T.StringType())])))
 def substitutions(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """Aligned replacements of one or two words by one or two words."""
-    out = []
-    for r, h in zip(reference, hypothesis):
-        rw, hw = ([w.strip(".,!?;:") for w in (t or "").lower().split()] for t in (r, h))
-        found = [(a, b, c, d) for what, a, b, c, d in SequenceMatcher(None, rw, hw).get_opcodes() if what == "replace"]
-        out.append([{"said": " ".join(hw[c:d]), "meant": " ".join(rw[a:b])} for a, b, c, d in found if b - a <= 2 and d - c <= 2])
-    return pd.Series(out, dtype=object)
-
-
-def replace_phrases(text: str, rules: list[tuple[str, str]]) -> str:
-    """Phrases exchanged, the longest first, whatever their case; punctuation around them and a capital stay."""
-    words = text.split()
-    for said, meant in rules:
-        want, n, at, out = said.split(), len(said.split()), 0, []
-        while at < len(words):
-            window = words[at : at + n]
-            if [w.lower().strip(".,!?;:") for w in window] != want:
-                out.append(words[at])
+    """``exchanged`` of two texts."""
+    return pd.Series([exchanged(r, h) for r, h in zip(reference, hypothesis)], dtype=object)
+
+
+class Phrases:
+    """Rules of phrases as a trie of their words; of the phrases that begin at a word the longest is exchanged.
+
+    A text is read once and what was exchanged is not read again; of two rules for one phrase the first counts.
+    """
+
+    def __init__(self, rules: list[tuple[str, str]]) -> None:
+        self.root: dict = {}
+        for said, meant in rules:
+            node = self.root
+            for w in said.lower().split():
+                node = node.setdefault(w, {})
+            if node is not self.root:
+                node.setdefault(None, meant)
+
+    def longest(self, words: list[str], begin: int) -> tuple[int, str] | None:
+        """How many words the longest phrase at ``begin`` has, and what it becomes."""
+        node, found = self.root, None
+        for n, w in enumerate(words[begin:], 1):
+            node = node.get(w)
+            if node is None:
+                break
+            if None in node:
+                found = (n, node[None])
+        return found
+
+    def apply(self, text: str) -> str:
+        """The text with its phrases exchanged; punctuation around a phrase and the capital that begins it stay."""
+        raw, words = text.split(), phrase_words(text)
+        out, at = [], 0
+        while at < len(raw):
+            found = self.longest(words, at)
+            if found is None:
+                out.append(raw[at])
                 at += 1
                 continue
-            new = meant.split()
-            if new:
-                head, tail = re.match(r"\W*", window[0])[0], re.search(r"\W*$", window[-1])[0]
-                if window[0][:1].isupper():
-                    new[0] = new[0].capitalize()
-                new[0], new[-1] = head + new[0], new[-1] if len(new) > 1 else head + new[0]
-                new[-1] += tail
-            out += new
+            n, meant = found
+            if meant:
+                whole = " ".join(raw[at : at + n])
+                core = whole.strip(PHRASE_MARKS)
+                before, _, after = whole.partition(core)
+                out.append(before + (meant[:1].upper() + meant[1:] if core[:1].isupper() else meant) + after)
             at += n
-        words = out
-    return " ".join(words)
+        return " ".join(out)
 
 
 def phrase_rules(rules: dict[str, list[tuple[str, str]]]):
     """A function of (text, language) that applies each language's rules; a rule table is a few hundred rows."""
+    tries = {language: Phrases(listed) for language, listed in rules.items()}
 
     @F.pandas_udf(T.StringType())
     def apply(texts: pd.Series, languages: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None else replace_phrases(t, rules.get(lang, [])) for t, lang in zip(texts, languages)], dtype=object)
+        return pd.Series([tries[lang].apply(t) if t is not None and lang in tries else t for t, lang in zip(texts, languages)], dtype=object)
 
     return apply
-
-

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import shape
 from ..functions.editdist import word_distance
-from ..functions.sequence import block_error_counts, phrase_rules, rover, substitutions
+from ..functions.sequence import block_error_counts, in_places, phrase_rules, substitutions
 from ..functions.text import compression_ratio, stable_fold
+from ..session import cut
+from .audit import linear_quantiles
 from .skew import ranked
 
 #: A rule table larger than this is refused rather than brought to the driver.
@@ -16,12 +18,29 @@ MOST_RULES = 20_000
 
 
 def rover_texts(candidates: DataFrame, weights: dict[int, float] | None = None) -> DataFrame:
-    """(id, text): the vote of the candidates (id, idx, text) of every utterance, the first one the pivot."""
+    """(id, text): the vote of the candidates (id, idx, text) of every utterance, the first one the pivot.
+
+    Each candidate says for every word of the pivot what it has in its place. The ballots are added up by place and
+    word; the pivot's word stands unless another choice, which may be to leave it out, has strictly more weight.
+    """
     w = F.lit(1.0)
     if weights:
         w = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("idx")], F.lit(1.0))
-    listed = candidates.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", F.coalesce("text", F.lit("")).alias("text"), w.cast("double").alias("weight")))).alias("h"))
-    return listed.select("id", rover("h").alias("text"))
+    given = candidates.select("id", "idx", F.coalesce("text", F.lit("")).alias("text"), w.cast("double").alias("w"))
+    first = given.groupBy("id").agg(F.min_by("text", "idx").alias("pivot"))
+    said = given.join(first, "id").select("id", "idx", "w", F.posexplode(in_places("pivot", "text")).alias("at", "word")).filter("word IS NOT NULL")
+    key = F.regexp_replace(F.lower("word"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    # what has no letter is no ballot; a word that is left out is
+    ballots = said.withColumn("key", key).filter("key <> '' OR word = ''").groupBy("id", "at", "key").agg(F.sum("w").alias("w"), F.max_by("word", F.struct("w", -F.col("idx"))).alias("word"), F.min("idx").alias("by"))
+    own = first.select("id", F.posexplode(F.filter(F.split("pivot", r"\s+"), lambda x: x != "")).alias("at", "own"))
+    own = own.withColumn("own_key", F.regexp_replace(F.lower("own"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    both = own.join(ballots, ["id", "at"], "left").groupBy("id", "at", "own", "own_key").agg(
+        F.max_by(F.struct("key", "word", "w"), F.struct("w", (F.col("key") == F.col("own_key")).alias("own"), (-F.col("by")).alias("by"))).alias("best"), F.sum(F.when(F.col("key") == F.col("own_key"), F.col("w")).otherwise(0.0)).alias("own_w")
+    )
+    outvoted = (F.col("own_key") != "") & (F.col("best.key") != F.col("own_key")) & (F.col("best.w") > F.col("own_w") + 1e-9)
+    words = both.withColumn("said", F.when(outvoted, F.col("best.word")).otherwise(F.col("own"))).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "said"))).alias("l"))
+    text = F.array_join(F.transform(F.filter("l", lambda x: x["said"] != ""), lambda x: x["said"]), " ")
+    return first.select("id").join(words, "id", "left").select("id", F.coalesce(text, F.lit("")).alias("text"))
 
 
 def mine_rules(pairs: DataFrame, least: int = 3, reverse: float = 0.34) -> DataFrame:
@@ -96,7 +115,8 @@ def out_of_fold_router(rows: DataFrame, languages: list[str], folds: int = 3, tr
 
     features = router_features(F.col("p"), F.col("f"), F.col("language"), languages)
     table = rows.withColumns(features).withColumn("fold", stable_fold(F.col("id"), folds))
-    ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(table).select("id", "fold", "gain", "features").persist()
+    ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(table).select("id", "fold", "gain", "features")
+    ready = cut(ready)
     out = None
     for k in range(folds):
         model = RandomForestRegressor(featuresCol="features", labelCol="gain", numTrees=trees, maxDepth=5, seed=seed).fit(ready.filter(F.col("fold") != k))
@@ -107,5 +127,5 @@ def out_of_fold_router(rows: DataFrame, languages: list[str], folds: int = 3, tr
 
 def top_rate(predicted: DataFrame, rate: float) -> DataFrame:
     """``selected``: the part of the rows with the highest positive predictions; the limit is a quantile, no global sort."""
-    limit = predicted.agg(F.percentile("predicted", 1 - rate).alias("__limit"))
+    limit = linear_quantiles(predicted, F.col("predicted"), {"__limit": 1 - rate})
     return predicted.crossJoin(F.broadcast(limit)).withColumn("selected", (F.col("predicted") >= F.col("__limit")) & (F.col("predicted") > 0)).drop("__limit")
