@@ -20,6 +20,15 @@ def test_csv_dialect(spark, tmp_path):
         sources.load_table(spark, str(path), ["language"], "train")
 
 
+def test_short_rows_with_quoted_commas_are_filled(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text('a,b,c\n1,x,y\n2,"p,q,r,s"\n3,"p,""q"",r",s,t\n4,"a \\", b",c\n')
+    for multi_line in (True, False):
+        got = sorted(tuple(r) for r in sources.read_csv(spark, str(path), multi_line=multi_line).collect())
+        assert got[:2] == [("1", "x", "y"), ("2", "p,q,r,s", "")] and "3" not in {r[0] for r in got}
+        assert sources.bad_csv_rows(spark, str(path), multi_line=multi_line).count() == 1
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("b", 'q"uote, x'), ("a", "line\nbreak")], "ID string, Target string").withColumn("extra", F.lit(1))
     sources.write_csv(df, str(tmp_path / "o"), ["ID", "Target"], "ID")

@@ -137,3 +137,33 @@ def test_empty_tables(spark):
     hyps = spark.createDataFrame([], "id string, hyp string")
     assert scoring.score_report(scoring.pair_scores(none, hyps)).filter("language NOT IN ('overall')").count() == 0
     assert relational.balanced(none, "language", "id").count() == 0
+
+
+def test_linear_quantiles_against_numpy(spark):
+    import numpy as np
+
+    from verbatica.operators import audit
+
+    rng = np.random.default_rng(4)
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 501), (None, 30)) for v in rng.choice([rng.normal(), 1.5, -2.0, 7.25], n)] + [("d", None), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["lo"], r["hi"]) for r in audit.linear_quantiles(df, df["v"], {"lo": 0.25, "hi": 0.9}, "g").collect()}
+    for g in ("a", "b", "c", None):
+        values = [v for k, v in rows if k == g and v is not None]
+        assert np.allclose(got[g], np.quantile(values, [0.25, 0.9]))
+    assert got["d"] == (None, None) and len(got) == 5
+    one = audit.linear_quantiles(df, df["v"], {"m": 0.5}).first()["m"]
+    assert np.isclose(one, np.median([v for _, v in rows if v is not None]))
+    assert audit.linear_quantiles(df.limit(0), df["v"], {"m": 0.5}, "g").count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from verbatica import session
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://somewhere:7077", setCheckpointDir=lambda p: None)
+    with pytest.raises(ValueError):
+        session.shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import cut
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -25,9 +29,46 @@ def nearest_ranks(df: DataFrame, value: Column, quantiles: dict[str, float], *gr
 
 
 def linear_quantile(values: str, q: float) -> Column:
+    """A quantile as an aggregate, for lengths and other values of which there are few different ones: it keeps a count of
+    each. For measures use ``linear_quantiles``."""
     return F.expr(f"percentile({values}, {q}D)")
 
 
+def linear_quantiles(df: DataFrame, value: Column, quantiles: dict[str, float], *groups: str) -> DataFrame:
+    """For every name the value at ``q * (n - 1)`` of the sorted values of a group, between two of them in proportion.
+
+    Values are counted before they are ranked, and ranked in ranges, so that no group's values are gathered. A group
+    without values has nulls.
+    """
+    counted = df.groupBy(*groups, value.cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    keys = F.struct(*[F.col(g) for g in groups]) if groups else F.lit(1)
+    known = counted.filter("v IS NOT NULL").withColumn("__g", keys)
+    n = known.groupBy("__g").agg(F.sum("c").alias("n"))
+    # the values around each wanted place, by sums over ranges of values
+    upto = running_counts(known, "__g", "v", "c", "upto").join(F.broadcast(n) if not groups else n, "__g")
+    ends = []
+    for k, q in quantiles.items():
+        at = F.lit(float(q)) * (F.col("n") - 1)
+        ends += [F.min(F.when(F.col("upto") > F.floor(at), F.col("v"))).alias(f"__lo_{k}"), F.min(F.when(F.col("upto") > F.ceil(at), F.col("v"))).alias(f"__hi_{k}"), F.first(at - F.floor(at)).alias(f"__part_{k}")]
+    found = upto.groupBy("__g").agg(*ends)
+    between = [(F.col(f"__lo_{k}") + (F.col(f"__hi_{k}") - F.col(f"__lo_{k}")) * F.col(f"__part_{k}")).alias(k) for k in quantiles]
+    every = counted.select(keys.alias("__g")).distinct() if groups else df.sparkSession.range(1).select(F.lit(1).alias("__g"))
+    out = every.join(found, every["__g"].eqNullSafe(found["__g"]), "left")
+    return out.select(*[every["__g"][g].alias(g) for g in groups], *between)
+
+
+def running_counts(counted: DataFrame, group: str, value: str, count: str, out: str) -> DataFrame:
+    """``out``: how many rows of the group have this value or a smaller one, of values with their counts.
+
+    Values are cut into ranges once; each range is summed by itself and the sums of the ranges before are added.
+    """
+    ranged = cut(counted.repartitionByRange(group, value).withColumn("__p", F.spark_partition_id()))
+    sums = ranged.groupBy("__p", group).agg(F.sum(count).alias("__s"))
+    before = sums.withColumn("__before", F.coalesce(F.sum("__s").over(Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
+    inside = F.sum(count).over(Window.partitionBy("__p", group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("__in", inside).join(before, ["__p", group]).withColumn(out, F.col("__before") + F.col("__in")).drop("__p", "__in", "__before")
+
+
 def length_stats(df: DataFrame, text: str, *groups: str) -> DataFrame:
     """Minimum, median, 95th percentile (nearest rank) and maximum of characters and words.
 
@@ -119,16 +160,18 @@ def group_stats(df: DataFrame, text: str, duration: str, *groups: str) -> DataFr
     """Rows, empty texts, mean and median of known durations and of characters, hours, repeated texts."""
     t, d = F.coalesce(F.col(text), F.lit("")), F.when(F.col(duration) >= 0, F.col(duration))
     n = F.length(t)
-    return df.groupBy(*groups).agg(
+    sums = df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(t == "").alias("n_empty"),
         F.round(F.avg(d), 6).alias("mean_duration"),
-        F.median(d).alias("median_duration"),
         F.round(F.avg(n), 6).alias("mean_chars"),
-        F.median(n).alias("median_chars"),
         F.round(F.sum(d) / 3600, 2).alias("hours"),
         (F.count(F.lit(1)) - F.count_distinct(t)).alias("n_repeated"),
     )
+    for name, value in (("duration", d), ("chars", n)):
+        middle = linear_quantiles(df, value, {f"median_{name}": 0.5}, *groups).withColumnsRenamed({g: f"__{g}" for g in groups})
+        sums = sums.join(middle, reduce(and_, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups])).drop(*[f"__{g}" for g in groups]) if groups else sums.crossJoin(middle)
+    return sums
 
 
 def flag_histogram(df: DataFrame, flags: Column, *groups: str) -> DataFrame:

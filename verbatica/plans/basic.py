@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import flag_set, id_language
 from ..operators import audit, relational
+from ..operators.skew import ranked
 from ..session import shared_folder, table
 from ..sources import io as sources
 from .registry import query
@@ -196,10 +197,10 @@ def b13(spark, d):
 )
 def b14(spark, d):
     r = table(spark, d, "zoo_references")
-    # the reference table is a few hundred rows an utterance set; the order is an input of the operator
-    a = r.select("id", F.row_number().over(Window.orderBy("id")).alias("o"))
-    b = r.filter("language <> 'eng'").select("id", F.row_number().over(Window.orderBy(F.col("id").desc())).alias("o"))
-    return relational.order_mismatches(a, b, "id", "o")
+    down = r.filter("language <> 'eng'").select("id")
+    # the place from the end is the number of rows less the place
+    back = ranked(down, "id", out="o").crossJoin(F.broadcast(down.agg(F.count(F.lit(1)).alias("n")))).select("id", (F.col("n") - 1 - F.col("o")).alias("o"))
+    return relational.order_mismatches(ranked(r.select("id"), "id", out="o"), back, "id", "o")
 
 
 # ---- joins ------------------------------------------------------------------------------------------------------
@@ -293,7 +294,8 @@ def d3(spark, d):
 
 @query("d4_linear_quantile", "SELECT language, round(quantile_cont(duration, 0.25), 6) AS q25, round(quantile_cont(duration, 0.9), 6) AS q90 FROM prepared_rows GROUP BY language")
 def d4(spark, d):
-    return prepared(spark, d).groupBy("language").agg(F.round(audit.linear_quantile("duration", 0.25), 6).alias("q25"), F.round(audit.linear_quantile("duration", 0.9), 6).alias("q90"))
+    q = audit.linear_quantiles(prepared(spark, d), F.col("duration"), {"q25": 0.25, "q90": 0.9}, "language")
+    return q.select("language", F.round("q25", 6).alias("q25"), F.round("q90", 6).alias("q90"))
 
 
 def _stats_sql(name: str) -> str:

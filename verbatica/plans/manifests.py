@@ -31,10 +31,10 @@ def _rms(a: str) -> str:
 _WAVES = f"WITH w AS (SELECT row_no, {_A} AS a, coalesce(audio.sampling_rate, 0) AS sr FROM prepared_rows)"
 
 
-@query("k1_mono", f"{_WAVES} SELECT row_no, list_transform(a, lambda x: round(x * 0.75, 9)) AS m FROM w WHERE len(a) > 2")
+@query("k1_mono", f"{_WAVES} SELECT row_no, list_transform(a, lambda x: (0.0::DOUBLE + x + x * 0.5::DOUBLE) / 2) AS m FROM w WHERE len(a) > 2")
 def k1(spark, d):
     two = F.array(F.col("a"), F.transform("a", lambda x: x * 0.5))
-    return waves(spark, d).filter("size(a) > 2").select("row_no", F.transform(wave.mono(two), lambda x: F.round(x, 9)).alias("m"))
+    return waves(spark, d).filter("size(a) > 2").select("row_no", wave.mono(two).alias("m"))
 
 
 @query("k2_duration", f"{_WAVES} SELECT row_no, CASE WHEN sr > 0 THEN len(a) / sr ELSE 0 END AS seconds FROM w")
@@ -42,9 +42,9 @@ def k2(spark, d):
     return waves(spark, d).select("row_no", wave.seconds(F.col("a"), F.col("sr")).alias("seconds"))
 
 
-@query("k3_peak_normalize", f"{_WAVES}, p AS (SELECT *, coalesce(list_max(list_transform(a, lambda x: abs(x))), 0) AS p FROM w) SELECT row_no, CASE WHEN p > 0 THEN list_transform(a, lambda x: round(x / p * 0.95, 9)) ELSE a END AS n FROM p")
+@query("k3_peak_normalize", f"{_WAVES}, p AS (SELECT *, coalesce(list_max(list_transform(a, lambda x: abs(x))), 0) AS p FROM w) SELECT row_no, CASE WHEN p > 0 THEN list_transform(a, lambda x: x / p * 0.95::DOUBLE) ELSE a END AS n FROM p")
 def k3(spark, d):
-    return waves(spark, d).select("row_no", F.transform(wave.peak_normalize(F.col("a")), lambda x: F.round(x, 9)).alias("n"))
+    return waves(spark, d).select("row_no", wave.peak_normalize(F.col("a")).alias("n"))
 
 
 @query("k4_light_trim", f"{_WAVES}, i AS (SELECT *, list_filter(range(1, len(a) + 1), lambda i: abs(a[i]) > 0.05) AS i FROM w) SELECT row_no, len(CASE WHEN len(i) = 0 THEN a ELSE a[greatest(i[1] - 1, 1):least(i[-1] + 1, len(a))] END) AS n FROM i")
@@ -114,10 +114,10 @@ def k12(spark, d):
     return t.select("row_no", s["num_frames"].cast("bigint").alias("num_frames"), *[F.round(v, 9).alias(k) for k, v in s.items() if k != "num_frames"])
 
 
-@query("k13_mean_pool", f"{_WAVES} SELECT row_no, list_transform(a, lambda x: round((x + 2 * x) / 2, 9)) AS m FROM w WHERE len(a) > 0")
+@query("k13_mean_pool", f"{_WAVES} SELECT row_no, list_transform(a, lambda x: (0.0::DOUBLE + x + 2 * x) / 2) AS m FROM w WHERE len(a) > 0")
 def k13(spark, d):
     frames = F.array(F.col("a"), F.transform("a", lambda x: 2 * x), F.transform("a", lambda x: 100 * x))
-    return waves(spark, d).filter("size(a) > 0").select("row_no", F.transform(wave.mean_pool(frames, F.lit(2)), lambda x: F.round(x, 9)).alias("m"))
+    return waves(spark, d).filter("size(a) > 0").select("row_no", wave.mean_pool(frames, F.lit(2)).alias("m"))
 
 
 # ---- buckets ----------------------------------------------------------------------------------------------------

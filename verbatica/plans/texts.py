@@ -59,11 +59,11 @@ def e6(spark, d):
 
 @query(
     "e7_token_keys",
-    rf"WITH w AS (SELECT unnest(list_filter(string_split_regex(coalesce(transcription, ''), '{_WS}'), lambda w: w <> '')) AS w FROM generalization_mix) SELECT regexp_replace(lower(w), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS key, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, key LIMIT 500",
+    rf"WITH w AS (SELECT unnest(list_filter(string_split_regex(coalesce(transcription, ''), '{_WS}'), lambda w: w <> '')) AS w FROM generalization_mix) SELECT regexp_replace(lower(w), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS key, count(*) AS n FROM w GROUP BY 1",
 )
 def e7(spark, d):
     words = mix(spark, d).select(F.explode(text.tokens(F.col("transcription"))).alias("w"))
-    return words.groupBy(text.token_key(F.col("w")).alias("key")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "key").limit(500)
+    return words.groupBy(text.token_key(F.col("w")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _DOTS = r"trim(regexp_replace(regexp_replace(coalesce(target, ''), '(?:\s*\.){3,}\s*$', '.'), '[\s\p{Z}]+', ' ', 'g'))"
@@ -99,14 +99,17 @@ def e12(spark, d):
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.size(text.sentence_split(F.col("text"))).cast("bigint").alias("n"))
 
 
-@query("e13_stitch", f"{SQL}, w AS (SELECT id, list_filter(string_split(hyp, ' '), lambda x: x <> '') AS w FROM hyps WHERE system = 'seq_large') SELECT id, array_to_string(w, ' ') AS t FROM w WHERE len(w) >= 8 AND len(list_distinct(list_transform(w, lambda x: regexp_replace(lower(x), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')))) = len(w)")
+@query(
+    "e13_stitch",
+    f"{SQL}, w AS (SELECT id, system, list_filter(string_split(hyp, ' '), lambda x: x <> '') AS w FROM hyps), s AS (SELECT id, system, w[1:len(w) // 2 + 3] AS l, w[greatest(len(w) // 2, 1):] AS r FROM w), "
+    "k AS (SELECT *, list_transform(l, lambda x: regexp_replace(lower(x), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')) AS lk, list_transform(r, lambda x: regexp_replace(lower(x), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g')) AS rk FROM s), "
+    "n AS (SELECT *, coalesce(list_max(list_filter(range(2, least(25, len(l), len(r)) + 1), lambda n: lk[len(lk) - n + 1:len(lk)] = rk[1:n])), 0) AS n FROM k) SELECT id, system, array_to_string(list_concat(l, r[n + 1:]), ' ') AS t FROM n",
+)
 def e13(spark, d):
-    """Two overlapping halves of a text whose words are all different give the text back."""
-    w = hyps(spark, d).filter("system = 'seq_large'").select("id", text.tokens(F.col("hyp")).alias("w"))
-    keys = F.transform("w", text.token_key)
-    w = w.filter((F.size("w") >= 8) & (F.size(F.array_distinct(keys)) == F.size("w")))
-    left, right = F.slice("w", F.lit(1), F.expr("size(w) div 2 + 3")), F.slice("w", F.expr("size(w) div 2"), F.size("w"))
-    return w.select("id", F.array_join(text.stitch(left, right), " ").alias("t"))
+    """Two overlapping parts of every text as one again."""
+    w = hyps(spark, d).select("id", "system", text.tokens(F.col("hyp")).alias("w"))
+    left, right = F.slice("w", F.lit(1), F.expr("size(w) div 2 + 3").cast("int")), F.slice("w", F.greatest(F.expr("size(w) div 2"), F.lit(1)).cast("int"), F.greatest(F.size("w"), F.lit(1)))
+    return w.select("id", "system", F.array_join(text.stitch(left, right), " ").alias("t"))
 
 
 @query(

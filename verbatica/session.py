@@ -61,7 +61,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
     The cluster names it in ``spark.checkpoint.dir``; only where neither that nor a folder set by the
-    application exists (tests on one machine) is a temporary one made, and it is removed at exit.
+    application exists and all runs in one process (tests) is a temporary one made, and it is removed at exit. On a
+    cluster a folder of one machine would lose rows with it: there the setting is required.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -69,6 +70,8 @@ def shared_folder(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="verbatica-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)

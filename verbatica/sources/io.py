@@ -30,31 +30,32 @@ def require_columns(df: DataFrame, columns: list[str], name: str = "input") -> D
     return df
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = True) -> DataFrame:
     """Rows of a CSV file with header: UTF-8 with or without byte order mark, quotes doubled or escaped by a backslash,
     line breaks inside quotes, missing values as empty strings. Rows with too many fields are left out; see
-    ``bad_csv_rows``."""
-    return _csv(spark, path, columns).filter("__bad IS NULL").drop("__bad")
+    ``bad_csv_rows``. Without line breaks inside quotes (``multi_line`` off) a large file is read in parts."""
+    return _csv(spark, path, columns, multi_line).filter("__bad IS NULL").drop("__bad")
 
 
-def bad_csv_rows(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+def bad_csv_rows(spark: SparkSession, path: str, columns: list[str] | None = None, multi_line: bool = True) -> DataFrame:
     """(row): what could not be read because it has more fields than the header."""
-    df = _csv(spark, path, columns)
+    df = _csv(spark, path, columns, multi_line)
     # the reader gives broken rows only to queries that use a column of the data too
     some = F.length(F.concat_ws("", *[c for c in df.columns if c != "__bad"])) >= 0
     return df.filter(F.col("__bad").isNotNull() & some).select(F.col("__bad").alias("row"))
 
 
-def _csv(spark: SparkSession, path: str, columns: list[str] | None) -> DataFrame:
+def _csv(spark: SparkSession, path: str, columns: list[str] | None, multi_line: bool = True) -> DataFrame:
     if columns is None:
-        first = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-        columns = [c.lstrip("﻿") for c in first.columns]
+        first = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(path)
+        columns = [c.lstrip("\ufeff") for c in first.columns]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "__bad"]])
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad")
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad")
     raw = reader.option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
-    # a row with too few fields is no bad row: what it lacks is empty
-    full = F.size(F.split(F.col("__bad"), ",")) > len(columns)
-    return raw.select(*[F.coalesce(F.regexp_replace(F.col(c), r'\\"', '"'), F.lit("")).alias(c) for c in columns], F.when(F.col("__bad").isNotNull() & full, F.col("__bad")).alias("__bad"))
+    # a row with too few fields is no bad row: what it lacks is empty; what is inside quotes parts no fields
+    unquoted = F.regexp_replace(F.col("__bad"), r'"(?:[^"\\]|\\.|"")*"', "")
+    too_many = F.size(F.split(unquoted, ",")) > len(columns)
+    return raw.select(*[F.coalesce(F.regexp_replace(F.col(c), r'\\"', '"'), F.lit("")).alias(c) for c in columns], F.when(F.col("__bad").isNotNull() & too_many, F.col("__bad")).alias("__bad"))
 
 
 def load_table(spark: SparkSession, path: str, columns: list[str], name: str) -> DataFrame:
@@ -71,10 +72,10 @@ def as_references(df: DataFrame) -> DataFrame:
     return df.select(key.alias("ID"), F.coalesce(text, F.lit("")).alias("Target"), language.alias("language"))
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str], order: str | None = None) -> None:
-    """The columns in the order given, others left out; one file, as its readers expect."""
-    out = df.orderBy(order) if order else df
-    out.select(*columns).coalesce(1).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, columns: list[str], order: str | None = None, one_file: bool = False) -> None:
+    """The columns in the order given, others left out; in files that follow the order, or in one for small tables."""
+    out = (df.orderBy(order) if order else df).select(*columns)
+    (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def write_report(report: dict, path: str) -> None:
