@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..session import cut
+from .skew import grouped_prefix_sum
 
 
 def count_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -45,7 +45,7 @@ def linear_quantiles(df: DataFrame, value: Column, quantiles: dict[str, float],
     known = counted.filter("v IS NOT NULL").withColumn("__g", keys)
     n = known.groupBy("__g").agg(F.sum("c").alias("n"))
     # the values around each wanted place, by sums over ranges of values
-    upto = running_counts(known, "__g", "v", "c", "upto").join(F.broadcast(n) if not groups else n, "__g")
+    upto = grouped_prefix_sum(known, "__g", "v", "c", "upto").join(F.broadcast(n) if not groups else n, "__g")
     ends = []
     for k, q in quantiles.items():
         at = F.lit(float(q)) * (F.col("n") - 1)
@@ -57,18 +57,6 @@ def linear_quantiles(df: DataFrame, value: Column, quantiles: dict[str, float],
     return out.select(*[every["__g"][g].alias(g) for g in groups], *between)
 
 
-def running_counts(counted: DataFrame, group: str, value: str, count: str, out: str) -> DataFrame:
-    """``out``: how many rows of the group have this value or a smaller one, of values with their counts.
-
-    Values are cut into ranges once; each range is summed by itself and the sums of the ranges before are added.
-    """
-    ranged = cut(counted.repartitionByRange(group, value).withColumn("__p", F.spark_partition_id()))
-    sums = ranged.groupBy("__p", group).agg(F.sum(count).alias("__s"))
-    before = sums.withColumn("__before", F.coalesce(F.sum("__s").over(Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
-    inside = F.sum(count).over(Window.partitionBy("__p", group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("__in", inside).join(before, ["__p", group]).withColumn(out, F.col("__before") + F.col("__in")).drop("__p", "__in", "__before")
-
-
 def length_stats(df: DataFrame, text: str, *groups: str) -> DataFrame:
     """Minimum, median, 95th percentile (nearest rank) and maximum of characters and words.
 

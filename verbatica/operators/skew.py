@@ -31,23 +31,25 @@ def attach_by_key(rows: DataFrame, facts: DataFrame, key: str, size: str, n_rows
     return from_hot.select(*cold.columns).unionByName(cold)
 
 
-def grouped_prefix_sum(df: DataFrame, group: str, order: str, weight: str | Column, out: str, buckets: int = 4096) -> DataFrame:
+def grouped_prefix_sum(df: DataFrame, group: str, order: str | list[str], weight: str | Column, out: str, buckets: int | None = None) -> DataFrame:
     """``out``: the sum of ``weight`` over the rows of the group that come before or at this row in ``order``.
 
-    ``order`` must hold values of [0, 1), spread over the interval (a hash as a fraction, or the rank transform of
-    an exponential key). No task ever holds a whole group: the interval is cut into ``buckets``, their sums, at
-    most groups x buckets small rows, are accumulated, and only the rows of one bucket of one group are sorted
-    together. Ties in ``order`` are not allowed; add a tie-break to the hash.
+    Rows are cut into ranges of group and order by quantiles of the rows themselves, whatever the order's distribution,
+    and written once so that all uses see the same ranges; inside a range they are summed, and the sums of the ranges
+    before are added. No task ever holds a whole group. Rows with equal order come one after another in any order: give
+    a tie-break as the last column. ``buckets`` is the number of ranges, by default that of shuffle partitions.
     """
+    order = [order] if isinstance(order, str) else order
     weight = F.col(weight) if isinstance(weight, str) else weight
-    keyed = df.withColumn("__w", weight).withColumn("__b", F.floor(F.col(order) * buckets).cast("int"))
-    sums = keyed.groupBy(group, "__b").agg(F.sum("__w").alias("__s"), F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("__before", F.coalesce(F.sum("__s").over(before), F.lit(0))).select(group, "__b", "__before")
-    inside = Window.partitionBy(group, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = keyed.withColumn("__in", F.sum("__w").over(inside))
-    joined = ranked.join(offsets, [group, "__b"], "inner")
-    return joined.withColumn(out, F.col("__before") + F.col("__in")).drop("__w", "__b", "__in", "__before")
+    ranged = cut(df.withColumn("__w", weight).repartitionByRange(*([buckets] if buckets else []), group, *order).withColumn("__p", F.spark_partition_id()))
+    # as many rows as there are ranges, and one more for every group that ends inside one
+    sums = ranged.groupBy("__p", group).agg(F.sum("__w").alias("__s"))
+    before = Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("__p").alias("__q"), F.col(group).alias("__of"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__p", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumn("__in", F.sum("__w").over(inside))
+    joined = summed.join(offsets, (F.col("__p") == F.col("__q")) & F.col(group).eqNullSafe(F.col("__of")))
+    return joined.withColumn(out, F.col("__before") + F.col("__in")).drop("__w", "__p", "__q", "__of", "__in", "__before")
 
 
 def ranked(df: DataFrame, order: str, group: str | None = None, out: str = "rank", parts: int | None = None) -> DataFrame:
