@@ -266,6 +266,28 @@ def test_allocation_is_close_and_whole():
     assert allocation.allocate([], allocation.SPLITS) == {}
 
 
+def test_many_bundles_are_allocated_fast():
+    import time
+
+    rng = random.Random(1)
+    bundles = {(s, "xyzuvw"[s % 6]): 1 for s in range(1, 5000)}
+    while len(bundles) < 30_000:
+        bundles[rng.randint(1, 30_000), rng.choice("xyzuvw")] = rng.randint(1, 9)
+    began = time.process_time()
+    plan = allocation.allocate([(s, lab, n) for (s, lab), n in bundles.items()], allocation.SPLITS)
+    assert time.process_time() - began < 30
+    total = sum(s * n for (s, _), n in bundles.items())
+    got = {s: sum(k[0] * v.get(s, 0) for k, v in plan.items()) for s in allocation.SPLITS}
+    assert all(abs(got[s] - q) <= 1 for s, q in allocation.quotas(total, allocation.SPLITS).items())
+    assert {k: sum(v.values()) for k, v in plan.items()} == bundles and min(n for v in plan.values() for n in v.values()) >= 0
+
+
+def test_splits_do_not_change_from_run_to_run(spark):
+    df = spark.createDataFrame([(i, None, "lin", None) for i in range(200)], "row_no bigint, s string, l string, u string")
+    runs = [pairs(allocation.assign_splits(df.repartition(k), "row_no", F.col("s"), F.col("l"), F.col("u")), "id", "new_split") for k in (1, 3)]
+    assert runs[0] == runs[1]
+
+
 def test_splits_keep_groups_together(spark):
     rng = random.Random(6)
     rows = [(i, f"s{min(int(rng.expovariate(0.1)), 60)}" if rng.random() < 0.8 else None, "lin", f"u{i // 2}") for i in range(1500)] + [(5000 + i, "hot", "lin", f"h{i}") for i in range(700)] + [(9000, None, None, None)]
@@ -404,6 +426,39 @@ def test_weights_favour_good_documents(spark):
     assert by[1] > 2 * by.get(0, 0)
 
 
+def test_low_weights_leave_no_ties_and_no_large_ranges(spark):
+    from verbatica.operators.skew import grouped_prefix_sum, unit_hash
+
+    df = spark.range(20_000).select("id", F.lit("s").alias("source"), F.lit(3).alias("n_tokens"), (-F.log(unit_hash(F.col("id"), F.lit(11))) / 0.1).alias("at"))
+    assert df.select("at").distinct().count() == 20_000
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "128")
+    try:
+        sizes = df.repartitionByRange("source", "at").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        rows = sorted((r["at"], r["upto"]) for r in grouped_prefix_sum(df, "source", ["at", "id"], "n_tokens", "upto").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sizes <= 0.01 * 20_000 * 1.3 and [u for _, u in rows] == [3 * (i + 1) for i in range(20_000)]
+
+
+def test_a_mixture_beyond_its_repeats_misses_shares(spark):
+    rows = [(i, "moto ndako kala mingi", "big" if i % 4 else "small") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("big", 0.5, 3), ("small", 0.5, 2)], "source string, target_share double, max_repeats int")
+    shares = {r["source"]: r for r in mixing.mixture_shares(docs, targets, "doc_id", "text", "source", scale=2.0).collect()}
+    assert shares["small"]["most_repeats"] == 2 and shares["small"]["mixed_tokens"] == 2 * shares["small"]["source_tokens"]
+    assert shares["small"]["actual_share"] < 0.45 and abs(shares["big"]["mixed_tokens"] - shares["big"]["wanted_tokens"]) < 20
+
+
+def test_quality_weights():
+    good, same, odd = "The old man went home, and the dog followed. It rained.", "la la la la la la la la la la", "### 12 || 44 %% 9 ~~ 33"
+    assert mixing.quality_weight(good) > 0.95 > mixing.quality_weight(same) > mixing.quality_weight(odd) >= 0.1
+    assert mixing.quality_weight(None) == mixing.quality_weight(" ") == 0.1
+    assert mixing.quality_weight("one line\n" * 50) < 0.5
+
+
 # ---- 9 ----------------------------------------------------------------------------------------------------------
 
 

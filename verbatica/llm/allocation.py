@@ -9,13 +9,14 @@ Only bundles reach the driver: sizes of one label add up to its rows, so there a
 ones a label, whatever the number of groups. Rows never do, and a group that holds a third of all rows is one number.
 
 Defined results: a null label is a label of its own; a record without a known group is a component by itself, together
-with the records of the same identifier; a record with neither is one by itself; repeated rows count each; a component
+with the records of the same identifier; a record with neither by its own identifier, without that by its content; repeated rows count each; a component
 larger than a split's quota goes to the largest split; an empty table gives an empty result; other columns are not
 looked at.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict, deque
 from itertools import permutations
 
@@ -170,45 +171,67 @@ def allocate(bundles: list[tuple[int, str, int]], shares: dict[str, float], labe
         for s in got:
             owed[s] += rows[s] - got[s] * size
     open_whole = {s: whole[s] - sum(k[0] * v.get(s, 0) for k, v in plan.items()) for s in names}
-    open_label = {(label, s): per[label][s] - sum(k[0] * v.get(s, 0) for k, v in plan.items() if k[1] == label) for label in per for s in names}
-    def move(here: str, there: str, size: int, times: int) -> None:
-        for _ in range(times):
-            k = max((k for k, v in plan.items() if k[0] == size and v.get(here, 0) and there in v), key=lambda k: (open_label[k[1], there] - open_label[k[1], here], str(k[1])))
-            for s, sign in ((here, -1), (there, 1)):
-                plan[k][s] += sign
-                open_whole[s] -= sign * size
-                open_label[k[1], s] -= sign * size
-
-    while True:  # exchanges of one component for some of one smaller size, as long as they bring the splits nearer
-        counts: dict[tuple[str, str], dict[int, int]] = {}
-        for here, there in permutations(names, 2):
-            c = counts[here, there] = defaultdict(int)
-            for k, v in plan.items():
-                if there in v and v.get(here, 0):
-                    c[k[0]] += v[here]
+    open_label = {(label, s): per[label][s] for label in per for s in names}
+    for (size, label), parts in plan.items():
+        for s, n in parts.items():
+            open_label[label, s] -= size * n
+    labels = sorted(per, key=str)
+
+    def move(here: str, there: str, size: int) -> None:
+        """One component of a size, of the label that gains most by it."""
+        of = max((k for k in labels if plan.get((size, k), {}).get(here, 0)), key=lambda k: open_label[k, there] - open_label[k, here])
+        for s, sign in ((here, -1), (there, 1)):
+            plan[size, of][s] = plan[size, of].get(s, 0) + sign
+            open_whole[s] -= sign * size
+            open_label[of, s] -= sign * size
+
+
+    # exchanges of one component for one or none of a smaller size, as long as they bring the splits nearer
+    held: dict[str, dict[int, int]] = {s: defaultdict(int) for s in names}
+    for (size, _), parts in plan.items():
+        for s, n in parts.items():
+            if n:
+                held[s][size] += n
+    sizes = {s: sorted(held[s]) for s in names}
+    while True:
         best: tuple = (0,)
         for here, there in permutations(names, 2):
             gap = open_whole[there] - open_whole[here]
-            if gap <= 1:
-                continue
-            backs = sorted(counts[there, here].items())
-            for size in counts[here, there]:
-                options = [(0, 0)]
-                if size > gap / 2:
-                    for other, n in backs:
-                        if other >= size:
-                            break
-                        k = min(n, int((size - gap / 2) // other))
-                        options += [(other, k), (other, min(n, k + 1))]
-                for other, k in options:
-                    d = size - k * other
-                    if 0 < d < gap:
-                        best = max(best, (d * (gap - d), -k, here, there, size, other))
+            if gap > 1:
+                best = max(best, _exchange(sizes[here], sizes[there], gap, whole[there] if there != largest else total, here, there))
         if not best[0]:
             return plan
-        _, k, here, there, size, other = best
-        move(here, there, size, 1)
-        move(there, here, other, -k)
+        _, here, there, size, other = best
+        for s, t, x in ((here, there, size), (there, here, other)):
+            if x:
+                move(s, t, x)
+                held[s][x] -= 1
+                held[t][x] += 1
+                for u in (s, t):
+                    at = bisect_left(sizes[u], x)
+                    stands = at < len(sizes[u]) and sizes[u][at] == x
+                    if held[u][x] and not stands:
+                        sizes[u].insert(at, x)
+                    elif not held[u][x] and stands:
+                        del sizes[u][at]
+
+
+def _exchange(here: list[int], there: list[int], gap: int, most: int, *names: str) -> tuple:
+    """(worth, names, size, other): of one size of ``here`` against none or one smaller of ``there`` the exchange whose
+    difference comes nearest to half the gap; both lists are sorted and run through once."""
+    best: tuple = (0,)
+    j, back = 0, [0, *there]
+    for size in here:
+        if size > most:
+            break
+        # the smaller the size, the smaller what may come back
+        while j + 1 < len(back) and back[j + 1] < size and 2 * (size - back[j + 1]) >= gap:
+            j += 1
+        for other in back[max(0, j) : j + 2]:
+            d = size - other
+            if 0 < d < gap:
+                best = max(best, (d * (gap - d), *names, size, other))
+    return best
 
 
 def assign_splits(df: DataFrame, id_col: str, group: Column, label: Column, twin: Column, shares: dict[str, float] = SPLITS, seed: int = 17) -> DataFrame:
@@ -216,7 +239,7 @@ def assign_splits(df: DataFrame, id_col: str, group: Column, label: Column, twin
 
     ``group`` is null where no entity is known; ``twin`` then keeps the deliveries of one record together.
     """
-    component = F.coalesce(F.concat(F.lit("g:"), group), F.concat(F.lit("r:"), twin.cast("string")), F.concat(F.lit("i:"), F.expr("uuid()")))
+    component = F.coalesce(F.concat(F.lit("g:"), group), F.concat(F.lit("r:"), twin.cast("string")), F.concat(F.lit("i:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("?"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string")))))
     rows = cut(df.select(F.col(f"`{id_col}`").alias("id"), component.alias("component"), F.coalesce(label.cast("string"), F.lit("?")).alias("label"), group.alias("grp")))
     # a component's label is the one of its first row in the order of labels
     sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("label"))
@@ -231,6 +254,6 @@ def assign_splits(df: DataFrame, id_col: str, group: Column, label: Column, twin
             upto += n
     spark = df.sparkSession
     table = spark.createDataFrame(bounds, "bundle string, new_split string, lo bigint, hi bigint")
-    ranked = grouped_prefix_sum(members, "bundle", "at", F.lit(1), "rank")
+    ranked = grouped_prefix_sum(members, "bundle", ["at", "component"], F.lit(1), "rank")
     chosen = ranked.join(table, "bundle").filter("rank > lo AND rank <= hi").select("component", "size", "new_split")
     return attach_by_key(rows, chosen, "component", "size", rows.count()).select("id", "grp", "label", "new_split")

@@ -59,6 +59,14 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return allocation.assign_splits(rows, "row_no", speaker, language, F.col("id")).select(F.col("id").alias("row_no"), F.col("grp").alias("speaker"), "new_split")
 
 
+def p4_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """Per new split its rows, and in all the speakers that stand in two."""
+    out = p4_splits(spark, d)
+    rows = out.groupBy("new_split").agg(F.count(F.lit(1)).alias("n_rows"))
+    parted = out.filter("speaker IS NOT NULL").groupBy("speaker").agg((F.min("new_split") < F.max("new_split")).alias("p")).agg(F.count_if("p").alias("n_parted"))
+    return rows.crossJoin(F.broadcast(parted))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return formatting.copy_pairs(table(spark, d, "lm_text"), "row_no", ["transcription", "text"]).select(F.col("a").alias("row_no_a"), F.col("b").alias("row_no_b"))
 
@@ -98,6 +106,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture_shares(*_mixture(spark, d))
 
 
+def p8_shares_beyond(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture twice as large as all sources together: repeats bind and shares are missed."""
+    return mixing.mixture_shares(*_mixture(spark, d), scale=2.0)
+
+
 def _subjects(spark: SparkSession, d: str) -> tuple:
     return table(spark, d, "documents"), table(spark, d, "subject_terms"), table(spark, d, "subject_labels"), "doc_id", "text"
 
@@ -113,7 +126,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_rates, p2_token_budget, p2_row_tokens, p3_found, p3_report, p4_found, p4_splits, p5_found, p5_records,
-        p6_found, p6_forms, p7_found, p7_leaked, p8_mixture, p8_shares, p9_found, p9_composition,
+        p1_found, p1_rates, p2_token_budget, p2_row_tokens, p3_found, p3_report, p4_found, p4_splits, p4_quotas, p5_found, p5_records,
+        p6_found, p6_forms, p7_found, p7_leaked, p8_mixture, p8_shares, p8_shares_beyond, p9_found, p9_composition,
     )
 }
