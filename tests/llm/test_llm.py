@@ -525,9 +525,53 @@ def test_oracles_agree(spark, data):
         assert sorted(repr(tuple(r[c] for c in names)) for r in QUERIES[name](spark, data).collect()) == rows
 
 
-def test_pairs_are_counted_in_every_document():
-    import pandas as pd
+def counted(texts, seeds, n_subjects):
+    terms = subjects.Terms(seeds, n_subjects)
+    packed = pd.concat(subjects._counted(iter([pd.DataFrame({"t": texts})]), terms, 1 << 56)).sort_values("part")
+    return pd.concat(subjects._summed(iter([packed]), n_subjects)), terms
 
+
+def hash_of(text):
+    t = subjects.Tokens()
+    t.add(text)
+    words, pairs, *_ = t.arrays()
+    return int(words[0]) if len(words) == 1 or " " not in text else int(pairs[1])
+
+
+def test_pairs_are_counted_in_every_document(monkeypatch):
+    monkeypatch.setattr(subjects, "LEAST", 1)
     about, passing = "the tax rises now. the tax rises again.", "we saw the tax rises here. birds sing all day. rain falls every day. wind blows every day. snow melts every day. the sun shines. the moon shines. a dog barks."
-    counted = pd.concat(subjects._train(iter([pd.DataFrame({"t": [about, passing, passing]})]), {"tax": (0,)}, 1)).set_index("gram")
-    assert counted.loc["tax rises"].tolist() == [3, 1] == counted.loc["tax"].tolist()
+    rows, _ = counted([about, passing, passing], {"tax": (0,)}, 1)
+    by = {r.key: (r.n, r.m) for r in rows.itertuples() if r.k == 0}
+    # twice in the document about it, once in each of the others
+    assert by[hash_of("tax rises")] == (4, 2) == by[int(subjects.Ids()["tax"])]
+    totals = {r.key: r.n for r in rows.itertuples() if r.k == -1}
+    assert totals == {0: 8 + 2 * 31, 1: 8, 2: 6 + 2 * 23, 3: 6}
+
+
+def test_counts_do_not_depend_on_packing(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["tax", "law", "the", "sun", "dog", "and"], k=30)) + "." for _ in range(80)]
+    whole, _ = counted(texts, {"tax": (0,), "law": (1,)}, 2)
+    monkeypatch.setattr(subjects, "PACKED", 50)
+    small, _ = counted(texts, {"tax": (0,), "law": (1,)}, 2)
+    key = ["key", "k"]
+    assert whole[whole.k >= 0].sort_values(key).values.tolist() == small[small.k >= 0].sort_values(key).values.tolist()
+    told = lambda r: r[r.k < 0].groupby("key")["n"].sum().to_dict()
+    assert told(whole) == told(small)
+
+
+def test_models_add_up_to_one():
+    words, pairs = np.array([1000, 100, 200]), np.array([900, 90, 180])
+    terms = subjects.Terms({"tax": (0,), "law": (1,)}, 2)
+    keys = [int(subjects.Ids()[w]) for w in ("tax", "law", "court")]
+    rows = pd.DataFrame({"key": keys, "n": [20, 50, 40], "k": [0, 1, 1], "m": [19, 48, 39]})
+    model = subjects.Model(rows, words, pairs, terms)
+    background = {keys[0]: (0, 1.5 / 900), keys[1]: (1, 2.5 / 800), keys[2]: (1, 1.5 / 800)}
+    for k in (0, 1):
+        kept = [(model.ratio[np.searchsorted(model.keys, np.uint64(key)), k], p) for key, (of, p) in background.items() if of == k]
+        inside = sum(r * p for r, p in kept)
+        assert abs(inside + model.rest[k] * (1 - sum(p for _, p in kept)) - 1) < 1e-5
+    model.fit_weights(np.array([keys[0]] * 5, np.uint64), np.zeros(5, np.uint64), np.zeros(5, np.int64))
+    assert abs(sum(model.weights) - 1) < 1e-9 and model.weights[2] < 0.1
+    assert model.gains(np.array([keys[0], 2], np.uint64), np.zeros(2, np.uint64), np.array([0, 0]), 1).argmax() == 0
