@@ -167,3 +167,10 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://somewhere:7077", setCheckpointDir=lambda p: None)
     with pytest.raises(ValueError):
         session.shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d)))
+
+
+def test_even_slots(spark):
+    for n in (1, 7, 64):
+        slots = skew.even_slots(spark, n)
+        df = spark.createDataFrame([(s,) for s in slots], "s bigint").repartition(n, "s").withColumn("p", F.spark_partition_id())
+        assert df.select("p").distinct().count() == n == len(set(slots))

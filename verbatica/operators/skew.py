@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -77,3 +77,17 @@ def ranked(df: DataFrame, order: str, group: str | None = None, out: str = "rank
 def unit_hash(*columns: Column) -> Column:
     """A hash of the columns as a fraction of [0, 1)."""
     return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(float(1 << 53))
+
+
+def even_slots(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of ``n`` partitions that a hash partitioning into ``n`` sends there.
+
+    Hashing the numbers of the partitions themselves would leave some empty and give others several.
+    """
+    found: dict[int, int] = {}
+    tried, step = 0, 16 * n + 64
+    while len(found) < n:
+        numbers = spark.range(tried, tried + step).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p"))
+        found = {r["p"]: r["id"] for r in numbers.groupBy("p").agg(F.min("id").alias("id")).collect()} | found
+        tried += step
+    return [found[p] for p in range(n)]
