@@ -382,12 +382,62 @@ def test_leaks(spark):
     assert leakage.leaked_items(d.limit(0), e, "doc_id", "text", "item_id", "text").count() == 0
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
+def test_more_items_than_can_be_sent_give_the_same(spark, monkeypatch):
     text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
     d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
     e = spark.createDataFrame([(i, text + " " + str(i)) for i in range(7)], "item_id bigint, text string")
-    monkeypatch.setattr(leakage, "BLOCK", 2)
+    monkeypatch.setattr(leakage, "SENT", 2)
+    monkeypatch.setattr(leakage, "SLICE_ITEMS", 3)
     assert leakage.leaked_items(d, e, "doc_id", "text", "item_id", "text").count() == 7
+    assert leakage.leaked_items(d, e.limit(0), "doc_id", "text", "item_id", "text").count() == 0
+
+
+def leaking(rng, n_docs=150):
+    """Documents with parts of items in them, with slips, and the items."""
+    vocabulary = ["".join(rng.choices("abdegikmnostu", k=rng.randint(3, 8))) for _ in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([14, 25, 40, 90, 200])))) for i in range(30)]
+    docs = []
+    for d in range(n_docs):
+        body = rng.choices(vocabulary, k=rng.randint(20, 300))
+        if d % 2:
+            w = items[rng.randrange(30)][1].split()
+            n = max(8, int(len(w) * rng.uniform(0.3, 1.0)))
+            begin = rng.randint(0, len(w) - n)
+            part = [x[:1] + "z" + x[2:] if rng.random() < 0.08 else x for x in w[begin : begin + n]]
+            at = rng.randint(0, len(body))
+            body[at:at] = part
+        docs.append((d, " ".join(body)))
+    return docs, items
+
+
+def test_leaks_against_brute_force(spark, monkeypatch):
+    docs, items = leaking(random.Random(13))
+
+    def brute(item, words):
+        wanted = max(12, -(-len(item) // 2))
+        for begin in range(len(words)):  # the item against every stretch of its size and some room
+            part = words[begin : begin + len(item) + 2]
+            row = [0] * (len(part) + 1)
+            for a in item:
+                new = [0]
+                for j, b in enumerate(part, 1):
+                    new.append(max(row[j], new[-1], row[j - 1] + leakage.same_word(a, b)))
+                row = new
+            if row[-1] >= wanted:
+                return True
+        return False
+
+    small = [(d, t.split()) for d, t in docs if len(t.split()) < 160][:40]
+    want = {(d, i) for d, w in small for i, t in items if len(t.split()) < 60 and set(t.split()) & set(w) and brute(t.split(), w)}
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = set(pairs(leakage.leaked_items(d, e, "doc_id", "text", "item_id", "text"), "doc_id", "item_id"))
+    assert want and len(got & want) >= 0.95 * len(want)
+    monkeypatch.setattr(leakage, "SENT", 0)
+    joined = set(pairs(leakage.leaked_items(d, e, "doc_id", "text", "item_id", "text"), "doc_id", "item_id"))
+    assert joined == got
+    monkeypatch.setattr(leakage, "KEPT", 1 << 30)  # sketches that hold every shingle
+    whole = set(pairs(leakage.leaked_items(d, e, "doc_id", "text", "item_id", "text"), "doc_id", "item_id"))
+    assert got <= whole and len(got) >= 0.97 * len(whole)
 
 
 # ---- 8 ----------------------------------------------------------------------------------------------------------

@@ -4,13 +4,15 @@ A document holds an item when at least ``share`` of the item's words, and at lea
 the item's order and in one stretch; layout, formatting and small slips do not count.
 
 Items are partitioned by size. For every size class a document is read in windows of twice the class's largest size,
-each overlapping the next by half, so that a passage lies whole in one of them. Windows and items are sketched by
-one-permutation MinHash over shingles of two words, with so many bins for the class that a shingle is rarely shaded by
-another; an item and a window that agree in a bin are candidates. They are verified by the exact containment of the
-item's shingles in the window and then by aligning the words.
+each overlapping the next by half, so that a passage lies whole in one of them. Items and windows are sketched by the
+minwise hashes of their shingles of two words: of every class the hashes in the lowest part of their range, a smaller
+part for larger items, so that a sketch has about ``KEPT`` values whatever the size; the part of an item's values that a
+window has estimates its containment. Candidates agree in enough values for their sketch; they are verified by the exact
+containment of the item's shingles in the window and then by aligning the words.
 
-Items are the stated query set, the small side: they are read to the driver and sent to the workers in blocks of
-``BLOCK`` items, the documents once for each block; documents are never shuffled, collected or compared with each other.
+Up to ``SENT`` characters of items are sent to the workers and documents are not shuffled at all. More items meet the
+documents in a join of the values of their sketches, values of many documents by broadcast, and the texts follow only
+for the pairs that agree.
 
 Defined results: null and empty texts hold nothing; documents and items with null identifiers are left out; items with
 fewer than ``least`` words are never found; copies of a document and repeated items count for themselves, repeated
@@ -27,12 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 20_000
-#: Bins for each shingle of a window: the chance that another shingle shades one is about 1/(2 * BINS_EACH).
-BINS_EACH = 4
+from ..operators.skew import attach_by_key
+from ..session import cut
+
+#: Characters of items that are sent to every worker; values of a sketch; from so many values two have to agree.
+SENT, KEPT, SURE = 1 << 24, 16, 8
+#: Items of one value that are joined together.
+SLICE_ITEMS = 1024
 #: The least part of an item's shingles in a window: half of the words, every fifth of them with a slip, leaves more.
 CONTAINED = 0.15
 _BREAK = re.compile(r"(?<=\w)[-\u00ad\u2010]\n\s*(?=[^\W\d_])")
@@ -85,15 +91,21 @@ def size_class(n_words: int) -> int:
     return 1 << max(4, math.ceil(math.log2(max(n_words, 1))))
 
 
-def bins_of(upper: int) -> int:
-    return 2 * upper * BINS_EACH
+def sampled(h: np.ndarray, upper: int) -> np.ndarray:
+    """Which hashes belong to the sketches of a size class."""
+    return h < np.uint64((1 << 64) // max(1, upper // KEPT) - 1)
+
+
+def needed(n_values: int) -> int:
+    """In how many values an item has to agree with a window."""
+    return 1 if n_values < SURE else 2
 
 
 class ItemIndex:
-    """The sketches of a block of items, by size class."""
+    """The sketches of some items, by size class."""
 
     def __init__(self, items: list[tuple[int, str]], share: float, least: int) -> None:
-        self.items: dict[int, tuple[int, list[str], dict[int, list[int]], int, frozenset[int]]] = {}
+        self.items: dict[int, tuple[int, list[str], dict[int, list[int]], int, int]] = {}
         tables: dict[int, dict[int, list[int]]] = {}
         known: dict[str, int] = {}
         for n, (item_id, text) in enumerate(items):
@@ -105,48 +117,38 @@ class ItemIndex:
             for i, x in enumerate(h.tolist()):
                 places.setdefault(x, []).append(i)
             upper = size_class(len(words))
-            bins = np.uint64(bins_of(upper))
-            kept: dict[int, int] = {}
-            for x in places:  # one-permutation sketch: the least hash of every bin
-                b = int(np.uint64(x) % bins)
-                kept[b] = min(kept.get(b, x), x)
-            self.items[n] = (item_id, words, places, max(least, math.ceil(share * len(words))), frozenset(kept.values()))
-            for x in kept.values():
+            own = np.array(list(places), dtype=np.uint64)
+            sketch = own[sampled(own, upper)]
+            if not len(sketch):  # the least hash stands for a sketch without values
+                sketch = own[own.argmin() : own.argmin() + 1]
+            self.items[n] = (item_id, words, places, max(least, math.ceil(share * len(words))), needed(len(sketch)))
+            for x in sketch.tolist():
                 tables.setdefault(upper, {}).setdefault(x, []).append(n)
         self.classes = [(upper, np.array(sorted(t), dtype=np.uint64), t) for upper, t in sorted(tables.items())]
 
     def candidates(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, window begin, window end) where sketches agree in a bin and the containment is large enough."""
+        """(item, window begin, window end) where the sketches agree and the exact containment is large enough."""
         for upper, values, table in self.classes:
             at = np.searchsorted(values, h)
             at[at == len(values)] = 0
             hits = np.flatnonzero(values[at] == h)
             if not len(hits):
                 continue
-            counts: dict[tuple[int, int], int] = {}
+            agreeing: dict[tuple[int, int], set[int]] = {}
             for p, x in zip(hits.tolist(), h[hits].tolist()):
                 w = p // upper
                 for n in table[x]:
-                    counts[n, w] = counts.get((n, w), 0) + 1
+                    agreeing.setdefault((n, w), set()).add(x)
                     if w:
-                        counts[n, w - 1] = counts.get((n, w - 1), 0) + 1
-            bins = np.uint64(bins_of(upper))
-            sketches: dict[int, tuple[set[int], set[int]]] = {}
-            for (n, w), c in counts.items():
-                if c < 2:  # fewer shared shingles are never verified
-                    continue
-                if w not in sketches:
-                    window = h[w * upper : (w + 2) * upper]
-                    low: dict[int, int] = {}
-                    for x, b in zip(window.tolist(), (window % bins).tolist()):
-                        if b not in low or x < low[b]:
-                            low[b] = x
-                    sketches[w] = (set(low.values()), set(window.tolist()))
-                least, inside = sketches[w]
-                places, sketch = self.items[n][2], self.items[n][4]
-                if least.isdisjoint(sketch):
+                        agreeing.setdefault((n, w - 1), set()).add(x)
+            inside: dict[int, set[int]] = {}
+            for (n, w), values_of in agreeing.items():
+                places, least = self.items[n][2], self.items[n][4]
+                if len(values_of) < least:
                     continue
-                shared = sum(x in inside for x in places)
+                if w not in inside:
+                    inside[w] = set(h[w * upper : (w + 2) * upper].tolist())
+                shared = len(places.keys() & inside[w])
                 if shared >= 2 and shared >= CONTAINED * len(places):
                     yield n, w * upper, min(len(h), (w + 2) * upper)
 
@@ -214,27 +216,78 @@ def holds(item: list[str], places: dict[int, list[int]], wanted: int, words: lis
     return before[m] >= wanted
 
 
+def _values(batches: Iterator[pd.DataFrame], uppers: list[int] | None, least: int) -> Iterator[pd.DataFrame]:
+    """(id, value, upper): of items the values of their own class, of documents those of all classes; windows aside."""
+    known: dict[str, int] = {}
+    for b in batches:
+        out = []
+        for i, t in zip(b["id"].tolist(), b["t"].tolist()):
+            words = plain_words(t)
+            if len(words) < max(least, 2):
+                continue
+            h = np.unique(shingles(words, known))
+            for upper in uppers if uppers is not None else [size_class(len(words))]:
+                kept = h[sampled(h, upper)]
+                if uppers is None and not len(kept):
+                    kept = h[:1]
+                out.append((i, upper, kept.view(np.int64).tolist()))
+        if len(known) > 500_000:
+            known.clear()
+        yield pd.DataFrame([(i, x, u) for i, u, xs in out for x in xs], columns=["id", "value", "upper"]).astype("int64")
+
+
+def _verified(batches: Iterator[pd.DataFrame], share: float, least: int) -> Iterator[pd.DataFrame]:
+    known: dict[str, int] = {}
+    last, words = None, []
+    for b in batches:
+        out = []
+        for d, t, i, x in zip(b["doc_id"].tolist(), b["t"], b["item_id"].tolist(), b["item"]):
+            if (d, t) != last:
+                last, words = (d, t), plain_words(t)
+            if ItemIndex([(i, x)], share, least).found_in(words, known):
+                out.append((d, i))
+        if len(known) > 500_000:
+            known.clear()
+        yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
+
+
+def _joined(texts: DataFrame, items: DataFrame, share: float, least: int) -> DataFrame:
+    """The leaks of any number of items, by a join of the values of sketches."""
+    schema = "id bigint, value bigint, upper bigint"
+    own = cut(items.select(F.col("item_id").alias("id"), "t").mapInPandas(lambda it: _values(it, None, least), schema))
+    uppers = sorted(r["upper"] for r in own.select("upper").distinct().collect())  # one for every power of two
+    if not uppers:
+        return items.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
+    of_items = own.withColumn("need", F.when(F.count(F.lit(1)).over(Window.partitionBy("id")) < SURE, 1).otherwise(2))
+    counts = own.groupBy("value", "upper").agg(F.ceil(F.count(F.lit(1)) / SLICE_ITEMS).alias("slices"))
+    listed = of_items.join(counts, ["value", "upper"]).groupBy("value", "upper", F.pmod(F.xxhash64("id"), F.col("slices")).alias("slice")).agg(F.collect_set(F.struct("id", "need")).alias("items"))
+    # the value itself carries the class: documents name only values that some item has
+    of_docs = texts.select(F.col("doc_id").alias("id"), "t").mapInPandas(lambda it: _values(it, uppers, least), schema)
+    wanted = counts.select("value", "upper")
+    met = cut(of_docs.join(wanted, ["value", "upper"], "left_semi").withColumn("key", F.struct("value", "upper")))
+    sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    facts = listed.withColumn("key", F.struct("value", "upper")).join(sizes, "key").select("key", "items", "n")
+    linked = attach_by_key(met.select("key", F.col("id").alias("doc_id")), facts, "key", "n", met.count()).select("doc_id", F.explode("items").alias("i"))
+    pairs = linked.groupBy("doc_id", F.col("i.id").alias("item_id")).agg(F.count(F.lit(1)).alias("n"), F.first("i.need").alias("need")).filter("n >= need").select("doc_id", "item_id")
+    both = pairs.join(texts, "doc_id").join(items.select("item_id", F.col("t").alias("item")), "item_id")
+    return both.repartition("doc_id").sortWithinPartitions("doc_id").mapInPandas(lambda it: _verified(it, share, least), "doc_id bigint, item_id bigint").distinct()
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str, text_col: str, item_id: str, item_text: str, share: float = 0.5, least: int = 12) -> DataFrame:
     """(doc_id, item_id): documents with each item they hold."""
     spark = docs.sparkSession
-    listed = [(r[0], r[1]) for r in items.select(F.col(f"`{item_id}`").cast("bigint"), F.col(f"`{item_text}`").cast("string")).filter(F.col(f"`{item_id}`").isNotNull() & F.col(f"`{item_text}`").isNotNull()).distinct().toLocalIterator()]
     texts = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t")).filter("doc_id IS NOT NULL AND t IS NOT NULL")
-    parts = []
-    for start in range(0, len(listed), BLOCK):
-        sent = spark.sparkContext.broadcast(ItemIndex(listed[start : start + BLOCK], share, least))
-
-        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index, known = sent.value, {}
-            for b in batches:
-                out = [(d, i) for d, t in zip(b["doc_id"].tolist(), b["t"].tolist()) for i in index.found_in(plain_words(t), known)]
-                if len(known) > 500_000:
-                    known.clear()
-                yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
-
-        parts.append(texts.mapInPandas(search, "doc_id bigint, item_id bigint"))
-    if not parts:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    asked = items.select(F.col(f"`{item_id}`").cast("bigint").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("t")).filter("item_id IS NOT NULL AND t IS NOT NULL").distinct()
+    if (asked.agg(F.sum(F.length("t").cast("bigint") + 8)).first()[0] or 0) > SENT:
+        return _joined(texts, asked, share, least)
+    sent = spark.sparkContext.broadcast(ItemIndex([(r[0], r[1]) for r in asked.collect()], share, least))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, known = sent.value, {}
+        for b in batches:
+            out = [(d, i) for d, t in zip(b["doc_id"].tolist(), b["t"].tolist()) for i in index.found_in(plain_words(t), known)]
+            if len(known) > 500_000:
+                known.clear()
+            yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
+
+    return texts.mapInPandas(search, "doc_id bigint, item_id bigint").distinct()
