@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import even_slots
 from ..session import cut
 
 #: Characters of a shingle, size of a cell as a part of the length, minima and bands of each view, minima of a band.
@@ -158,7 +159,7 @@ def _from_planes(data: bytes, n_bytes: int) -> np.ndarray:
     return out
 
 
-def _packed(cids: np.ndarray, texts: list[str], sides: np.ndarray, share: float, width: int) -> pd.DataFrame:
+def _packed(cids: np.ndarray, texts: list[str], sides: np.ndarray, share: float, width: int, slots: list[int] | None = None) -> pd.DataFrame:
     """The keys of some texts, a row for every range of keys; a key says with two bits on which sides its text stands."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     keys, at, owner, sketches, n = [], [], [], [], 0
@@ -188,19 +189,20 @@ def _packed(cids: np.ndarray, texts: list[str], sides: np.ndarray, share: float,
         used = np.flatnonzero(there)
         local = (np.cumsum(there) - 1)[number].astype(np.uint64) | a[begin:end] >> np.uint64(22) << np.uint64(22)
         short = np.minimum(sizes[owner[used]], 65535).astype(np.uint16)
-        rows.append((int(parts[begin]), _planes(k[begin:end], KEY_BITS // 8), _planes(local, 3), cids[owner[used]].tobytes(), short.tobytes(), sketches[used].tobytes()))
+        part = int(parts[begin])
+        rows.append((slots[part] if slots else part, _planes(k[begin:end], KEY_BITS // 8), _planes(local, 3), cids[owner[used]].tobytes(), short.tobytes(), sketches[used].tobytes()))
         begin = end
     return pd.DataFrame(rows, columns=ENTRIES)
 
 
-def _entries(batches: Iterator[pd.DataFrame], share: float, width: int) -> Iterator[pd.DataFrame]:
+def _entries(batches: Iterator[pd.DataFrame], share: float, width: int, slots: list[int]) -> Iterator[pd.DataFrame]:
     held: list[pd.DataFrame] = []
     rows = characters = 0
 
     def done() -> pd.DataFrame:
         b = pd.concat(held)
         held.clear()
-        return _packed(b["cid"].to_numpy(np.int64), b["letters"].tolist(), b["side"].to_numpy(np.int64), share, width)
+        return _packed(b["cid"].to_numpy(np.int64), b["letters"].tolist(), b["side"].to_numpy(np.int64), share, width, slots)
 
     for b in batches:
         for i in range(0, len(b), PACKED // 8):
@@ -350,9 +352,9 @@ def candidates(classes: DataFrame, share: float, salts: int = 64) -> DataFrame:
     ``classes`` has ``cid`` (distinct), ``letters`` and ``side`` (1 asked, 2 asking, 3 both).
     """
     n_parts = max(1, -(-classes.count() * BANDS * 3 // 2 // RANGE_KEYS))
-    width = -(-(1 << KEY_BITS) // n_parts)
+    width, slots = -(-(1 << KEY_BITS) // n_parts), even_slots(classes.sparkSession, n_parts)
     packed = "part bigint, keys binary, at binary, cids binary, sizes binary, sketches binary"
-    entries = classes.select("cid", "letters", "side").mapInPandas(lambda it: _entries(it, share, width), packed)
+    entries = classes.select("cid", "letters", "side").mapInPandas(lambda it: _entries(it, share, width, slots), packed)
     ranged = entries.repartition(n_parts, "part").sortWithinPartitions("part")
     schema = "t bigint, h bigint, key bigint, side int, slice bigint, cids binary, sizes binary, sketches binary"
     matched = cut(ranged.mapInPandas(lambda it: _matched(it, share), schema))
