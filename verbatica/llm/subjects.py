@@ -34,6 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import even_slots
 from ..session import cut
 from .minhash import _from_planes, _planes
 
@@ -155,7 +156,7 @@ class Terms:
 COUNTED = ["part", "keys", "columns", "counts"]
 
 
-def _counted(batches: Iterator[pd.DataFrame], terms: Terms, width: int) -> Iterator[pd.DataFrame]:
+def _counted(batches: Iterator[pd.DataFrame], terms: Terms, width: int, slots: list[int] | None = None) -> Iterator[pd.DataFrame]:
     """Counts of words and pairs in all documents (column 0) and in those of every subject (1 ...), packed by ranges of
     hashes; part -1 has the numbers of words and of pairs by column."""
     tokens, totals = Tokens(), np.zeros((2, terms.n + 1), dtype=np.int64)
@@ -181,7 +182,7 @@ def _counted(batches: Iterator[pd.DataFrame], terms: Terms, width: int) -> Itera
         parts = (k // np.uint64(width)).astype(np.int64)
         ends = np.flatnonzero(np.concatenate([parts[1:] != parts[:-1], [True]])) + 1
         begins = np.concatenate([[0], ends[:-1]])
-        rows = [(int(parts[i]), _planes(k[i:j], 7), _planes(col[i:j], 2), _planes(num[i:j], 4)) for i, j in zip(begins, ends)]
+        rows = [(slots[parts[i]] if slots else int(parts[i]), _planes(k[i:j], 7), _planes(col[i:j], 2), _planes(num[i:j], 4)) for i, j in zip(begins, ends)]
         return pd.DataFrame(rows, columns=COUNTED)
 
     for b in batches:
@@ -352,8 +353,8 @@ def trained(texts: DataFrame, terms: Terms) -> Model:
     sent = spark.sparkContext.broadcast(terms)
     characters = texts.agg(F.sum(F.length("t").cast("bigint"))).first()[0] or 0
     n_parts = max(1, -(-characters // RANGE_CHARACTERS))
-    width = -(-(1 << 56) // n_parts)
-    packed = texts.select("t").mapInPandas(lambda it: _counted(it, sent.value, width), "part bigint, keys binary, columns binary, counts binary")
+    width, slots = -(-(1 << 56) // n_parts), even_slots(spark, n_parts)
+    packed = texts.select("t").mapInPandas(lambda it: _counted(it, sent.value, width, slots), "part bigint, keys binary, columns binary, counts binary")
     n = terms.n
     summed = cut(packed.repartition(n_parts, "part").sortWithinPartitions("part").mapInPandas(lambda it: _summed(it, n), "key bigint, n bigint, k bigint, m bigint"))
     totals = {r["key"]: r["n"] for r in summed.filter("k = -1").groupBy("key").agg(F.sum("n").alias("n")).collect()}
