@@ -114,3 +114,24 @@ def test_stages_are_skipped_when_done(tmp_path):
     assert run_stages(stages) == {"one": "skipped", "two": "skipped"}
     with pytest.raises(FileNotFoundError):
         run_stages([Stage("x", str(tmp_path / "c"), lambda: None, (str(tmp_path / "missing"),))])
+
+
+def test_members_meet_their_manifest(spark):
+    members = spark.createDataFrame([("a.tar", "u1", "u1.wav", b"x"), ("b.tar", "u1", "u1.mp3", b"yy"), ("a.tar", "u3", "u3.wav", b"z")], "archive string, stem string, name string, content binary")
+    manifest = spark.createDataFrame([("clips/u1.flac", "one"), ("u2.wav", "two")], "audio_filepath string, transcription string")
+    assert [(r["stem"], r["archive"], r["transcription"]) for r in sources.members_of_manifest(members, manifest).collect()] == [("u1", "a.tar", "one")]
+    files = spark.createDataFrame([("u1", "p/u1"), ("u9", "p/u9")], "id string, path string")
+    got = sources.official_files(files, spark.createDataFrame([("u1",), ("u2",), ("u2",)], "id string")).collect()
+    assert sorted((r["id"], r["status"]) for r in got) == [("u1", "found"), ("u2", "missing"), ("u9", "extra")]
+
+
+def test_configurations_caches_and_revisions(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("a: {b: 1, c: x}\n")
+    (tmp_path / "c.json").write_text('{"a": {"b": 1, "c": "x"}}')
+    for name in ("c.yaml", "c.json"):
+        assert sources.read_config(str(tmp_path / name), {"a": {"b": 2}}) == {"a": {"b": 2, "c": "x"}}
+    assert sources.cache_matches({"model": "m", "revision": "1", "ids": ["a"]}, model="m", ids=["a"])
+    assert not sources.cache_matches({"model": "m"}, model="m", revision="1") and not sources.cache_matches(None, model="m")
+    assert sources.source_revision(str(tmp_path)) is None
+    assert "revision" in sources.experiment_record("x", {}, {})

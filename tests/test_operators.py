@@ -174,3 +174,22 @@ def test_even_slots(spark):
         slots = skew.even_slots(spark, n)
         df = spark.createDataFrame([(s,) for s in slots], "s bigint").repartition(n, "s").withColumn("p", F.spark_partition_id())
         assert df.select("p").distinct().count() == n == len(set(slots))
+
+
+def test_caps_can_be_made_to_fail(spark):
+    import pytest
+
+    df = spark.createDataFrame([("lin", "a", i) for i in range(5)] + [("sna", s, i) for i, s in enumerate("abcd")], "l string, s string, o int")
+    assert relational.speaker_capped(df, "l", "s", 3, 3, "o", full=True).count() == 6
+    with pytest.raises(ValueError):
+        relational.speaker_capped(df, "l", "s", 3, 4, "o", full=True)
+
+
+def test_text_language_is_learned(spark):
+    from verbatica.operators import lid
+
+    rows = [(i, "lin", f"nakoki kozonga na ndako {i}") for i in range(40)] + [(100 + i, "eng", f"the house near the river number {i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "i int, language string, t string")
+    model = lid.train_text_lid(df.filter("i % 4 > 0"), "t", "language", features=1 << 12)
+    told = lid.apply_text_lid(model, df.filter("i % 4 = 0"), "t").collect()
+    assert all(r["predicted"] == r["language"] and r["confidence"] > 0.5 for r in told) and len(told) == 15

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,7 @@ from ..functions.sequence import block_error_counts, in_places, phrase_rules, su
 from ..functions.text import compression_ratio, stable_fold
 from ..session import cut
 from .audit import linear_quantiles
+from .lid import marker_scores
 from .skew import ranked
 
 #: A rule table larger than this is refused rather than brought to the driver.
@@ -102,27 +107,42 @@ def router_features(p: Column, f: Column, language: Column, languages: list[str]
         "jaccard": safe(F.size(F.array_intersect(pw, fw)), F.size(F.array_union(pw, fw))), "word_distance": safe(word_distance(pw, fw), F.greatest(F.size(pw), F.size(fw))),
         "char_distance": safe(F.levenshtein(F.lower(p), F.lower(f)), F.greatest(F.length(p), F.length(f))),
     }
+    for name, t in (("p", p), ("f", f)):  # what the words themselves say of the language
+        marks = marker_scores(t)
+        total = sum(marks.values(), F.lit(0.0))
+        out |= {f"{name}_marked_{k}": F.when(total > 0, v / total).otherwise(0.0) for k, v in marks.items()}
     return {k: v.cast("double") for k, v in out.items()} | {f"is_{x}": (language == x).cast("double") for x in languages}
 
 
-def out_of_fold_router(rows: DataFrame, languages: list[str], folds: int = 3, trees: int = 20, seed: int = 5) -> DataFrame:
-    """(id, fold, gain, predicted): predicted gains of the fallback, each by a forest fitted on the other folds.
+def nested_router(rows: DataFrame, languages: list[str], folds: int = 3, rates: tuple[float, ...] = (0.1, 0.3), least_folds: int = 2, trees: int = 20, seed: int = 5) -> DataFrame:
+    """(id, fold, gain, predicted, rate, selected, stable): the rows of every fold judged by what the others taught.
 
-    ``rows``: (id, language, p, f, gain).
+    ``rows``: (id, language, p, f, gain). Folds have the same part of every language. Within the other folds, rows are
+    predicted out of their fold and the rate of selection with the largest mean gain is chosen; a forest fitted on all of
+    them then predicts the fold. ``stable``: the selections gain in at least ``least_folds`` folds and on the whole.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-
     features = router_features(F.col("p"), F.col("f"), F.col("language"), languages)
-    table = rows.withColumns(features).withColumn("fold", stable_fold(F.col("id"), folds))
-    ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(table).select("id", "fold", "gain", "features")
+    placed = ranked(rows.withColumn("__o", F.struct(F.sha1(F.col("id").cast("binary")), "id")), "__o", "language", "__at").withColumn("fold", (F.col("__at") % folds).cast("int"))
+    ready = VectorAssembler(inputCols=list(features), outputCol="features").transform(placed.withColumns(features)).select("id", "fold", "gain", "features")
     ready = cut(ready)
+
+    def predicted(train: DataFrame, held: DataFrame) -> DataFrame:
+        model = RandomForestRegressor(featuresCol="features", labelCol="gain", numTrees=trees, maxDepth=5, seed=seed).fit(train)
+        return model.transform(held).select("id", "fold", "gain", F.col("prediction").alias("predicted"))
+
     out = None
     for k in range(folds):
-        model = RandomForestRegressor(featuresCol="features", labelCol="gain", numTrees=trees, maxDepth=5, seed=seed).fit(ready.filter(F.col("fold") != k))
-        part = model.transform(ready.filter(F.col("fold") == k)).select("id", "fold", "gain", F.col("prediction").alias("predicted"))
+        others = [i for i in range(folds) if i != k]
+        inner = reduce(DataFrame.unionByName, [predicted(ready.filter(~F.col("fold").isin(k, i)), ready.filter(F.col("fold") == i)) for i in others])
+        inner = cut(inner)
+        gains = {r: top_rate(inner, r).agg(F.sum(F.when(F.col("selected"), F.col("gain")).otherwise(0.0))).first()[0] or 0.0 for r in rates}
+        rate = max(rates, key=lambda r: (gains[r], -r))
+        part = top_rate(predicted(ready.filter(F.col("fold") != k), ready.filter(F.col("fold") == k)), rate).withColumn("rate", F.lit(rate))
         out = part if out is None else out.unionByName(part)
-    return out
+    out = cut(out)
+    of = out.groupBy("fold").agg(F.sum(F.when(F.col("selected"), F.col("gain")).otherwise(0.0)).alias("g"))
+    stable = of.agg(((F.count_if(F.col("g") > 0) >= least_folds) & (F.sum("g") > 0)).alias("stable"))
+    return out.crossJoin(F.broadcast(stable))
 
 
 def top_rate(predicted: DataFrame, rate: float) -> DataFrame:

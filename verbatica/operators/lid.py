@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 
+import numpy as np
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import IDF, HashingTF, IDFModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 EPSILON = 1e-9
 
 # Function words and spellings that mark a language.
@@ -52,6 +60,7 @@ def by_markers(df: DataFrame, text: str, markers: dict[str, list[str]] = MARKERS
     best, total = F.array_max(listed), sum((F.col(f"__{k}") for k in markers), F.lit(0.0))
     words = F.size(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z']+"), lambda w: w != ""))
     confidence = F.when(total > 0, best["s"] / total).otherwise(0.0)
+    # fixed values: the least score, and the least confidence and density of markers of which one has to be reached
     unknown = (total == 0) | (best["s"] < 2) | ((confidence < 0.45) & (best["s"] / F.greatest(words, F.lit(1)) < 0.08))
     return scored.withColumns({"language": F.when(unknown, "unk").otherwise(best["k"]), "confidence": F.round(confidence, 9)}).drop(*[f"__{k}" for k in markers])
 
@@ -97,47 +106,60 @@ def by_likelihood(scores: DataFrame, key: str = "id", language: str = "language"
     return ranked.select(key, "language", F.round(F.col("top") - F.coalesce(F.try_element_at("all", F.lit(2)), F.col("top")), 9).alias("margin"))
 
 
-def char_ngrams(text: Column, low: int = 2, high: int = 4) -> Column:
+def char_ngrams(text: Column, low: int = 2, high: int = 6) -> Column:
     """Character n-grams inside the words of a text, words padded by blanks."""
     words = F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Z}]+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
     cut = lambda n: F.flatten(F.transform(words, lambda w: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))))
     return F.concat(*[cut(n) for n in range(low, high + 1)])
 
 
-def train_text_lid(df: DataFrame, text: str, label: str, features: int = 1 << 16, max_iter: int = 30):
-    """A fitted pipeline: weighted n-grams of characters and a logistic model with balanced classes."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, StringIndexer
+def _damped(v: SparseVector) -> SparseVector:
+    """1 + ln of every count; vectors have no expression for it."""
+    return SparseVector(v.size, v.indices, 1.0 + np.log(v.values))
+
+
+@dataclass(frozen=True)
+class TextLid:
+    """A fitted identifier: its labels in order, the weights of n-grams and the logistic model."""
+
+    labels: tuple[str, ...]
+    features: int
+    weights: IDFModel
+    model: LogisticRegressionModel
 
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    n_labels = counts.count()
-    total = df.count()
-    weighted = df.join(F.broadcast(counts), label).withColumns({"weight": F.lit(float(total)) / (n_labels * F.col("__n")), "grams": char_ngrams(F.col(text))})
-    stages = [
-        StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc"),
-        HashingTF(inputCol="grams", outputCol="tf", numFeatures=features),
-        IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2),
-        LogisticRegression(featuresCol="tfidf", labelCol="target", weightCol="weight", maxIter=max_iter, regParam=0.25 / max(total, 1)),
-    ]
-    return Pipeline(stages=stages).fit(weighted)
+    def vectors(self, df: DataFrame, text: str) -> DataFrame:
+        return self.weights.transform(_counts(df, text, self.features))
 
 
-def apply_text_lid(model, df: DataFrame, text: str) -> DataFrame:
-    """``predicted``, ``confidence``: the likeliest label of the fitted pipeline."""
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.functions import vector_to_array
+def _counts(df: DataFrame, text: str, features: int) -> DataFrame:
+    hashed = HashingTF(inputCol="__grams", outputCol="__counts", numFeatures=features).transform(df.withColumn("__grams", char_ngrams(F.col(text))))
+    # written first: a Python function of a column made by lambdas is not always taken out of the plan
+    return cut(hashed.drop("__grams")).withColumn("__tf", F.udf(_damped, VectorUDT())("__counts")).drop("__counts")
 
-    labels = F.array(*[F.lit(x) for x in model.stages[0].labels])
-    scored = PipelineModel(model.stages[1:]).transform(df.withColumn("grams", char_ngrams(F.col(text))))
-    p = vector_to_array("probability")
-    return scored.withColumns({"predicted": F.element_at(labels, F.col("prediction").cast("int") + 1), "confidence": F.array_max(p)}).drop("grams", "tf", "tfidf", "rawPrediction", "probability", "prediction")
+
+def train_text_lid(df: DataFrame, text: str, label: str, features: int = 1 << 18, max_iter: int = 30) -> TextLid:
+    """Damped, weighted character n-grams inside words and a logistic model with balanced classes and C = 4."""
+    sizes = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect() if r[label] is not None}
+    labels, total = tuple(sorted(sizes)), sum(sizes.values())
+    known = df.filter(F.col(label).isNotNull())
+    counted = cut(_counts(known, text, features).select("__tf", (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label)) - 1).cast("double").alias("__target")))
+    weights = IDF(inputCol="__tf", outputCol="__x", minDocFreq=2).fit(counted)
+    balance = F.create_map(*[F.lit(v) for i, x in enumerate(labels) for v in (float(i), total / (len(labels) * sizes[x]))])[F.col("__target")]
+    ready = weights.transform(counted).withColumn("__weight", balance)
+    logistic = LogisticRegression(featuresCol="__x", labelCol="__target", weightCol="__weight", predictionCol="__k", probabilityCol="__p", rawPredictionCol="__raw", maxIter=max_iter, regParam=0.25 / max(total, 1))
+    return TextLid(labels, features, weights, logistic.fit(ready))
+
+
+def apply_text_lid(model: TextLid, df: DataFrame, text: str) -> DataFrame:
+    """``predicted``, ``confidence``: the likeliest label of the fitted model."""
+    scored = model.model.transform(model.vectors(df, text))
+    labels = F.array(*[F.lit(x) for x in model.labels])
+    return scored.withColumns({"predicted": F.element_at(labels, F.col("__k").cast("int") + 1), "confidence": F.array_max(vector_to_array("__p"))}).drop("__tf", "__x", "__k", "__p", "__raw")
 
 
 def train_vector_lid(df: DataFrame, vector: str, label: str, max_iter: int = 50):
     """A fitted pipeline on pooled feature arrays: standardized, then a logistic model."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import array_to_vector
 
@@ -147,7 +169,7 @@ def train_vector_lid(df: DataFrame, vector: str, label: str, max_iter: int = 50)
 
 
 def apply_vector_lid(model, df: DataFrame, vector: str) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     scored = model.transform(df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))))
     return scored.withColumns({"predicted": F.col("prediction").cast("int"), "confidence": F.array_max(vector_to_array("probability"))}).drop("features", "scaled", "rawPrediction", "probability", "prediction")

@@ -138,12 +138,17 @@ def order_mismatches(left: DataFrame, right: DataFrame, key: str, order: str) ->
     return both.agg(F.count("a").alias("n_left"), F.count("b").alias("n_right"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_misplaced"))
 
 
-def speaker_capped(df: DataFrame, languages: str, speaker: str, per_speaker: int, per_language: int, order: str) -> DataFrame:
-    """In order, at most so many rows a speaker and then so many a language."""
+def speaker_capped(df: DataFrame, languages: str, speaker: str, per_speaker: int, per_language: int, order: str, full: bool = False) -> DataFrame:
+    """In order, at most so many rows a speaker and then so many a language; ``full``: fails if a language has fewer."""
     w1 = Window.partitionBy(languages, speaker).orderBy(order)
     w2 = Window.partitionBy(languages).orderBy(order)
     kept = df.withColumn("__s", F.row_number().over(w1)).filter(F.col("__s") <= per_speaker)
-    return kept.withColumn("__l", F.row_number().over(w2)).filter(F.col("__l") <= per_language).drop("__s", "__l")
+    out = kept.withColumn("__l", F.row_number().over(w2)).filter(F.col("__l") <= per_language).drop("__s", "__l")
+    if full:
+        short = out.groupBy(languages).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < per_language).limit(20).collect()
+        if short:
+            raise ValueError(f"fewer than {per_language} rows: { {r[0]: r[1] for r in short} }")
+    return out
 
 
 def balanced(df: DataFrame, group: str, order: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.editdist import pair_cost
 from ..functions.shape import ngram_top, said_words
+from ..session import cut
 
 #: Digits to which risks are rounded before they are compared, so that ties do not hang on the order of a sum.
 PLACES = 9
@@ -31,9 +32,12 @@ def pair_costs(candidates: DataFrame, key: str = "id", text: str = "norm", order
     return once.select(key, "cost", F.explode(both).alias("p")).select(key, "p.i", "p.j", "cost")
 
 
-def risks(candidates: DataFrame, weights: str | None = None, key: str = "id", order: str = "idx") -> DataFrame:
-    """The candidates with ``risk``: the mean cost to all candidates, itself among them, weighted if asked."""
-    costs = pair_costs(candidates, key, "norm", order)
+def risks(candidates: DataFrame, weights: str | None = None, key: str = "id", order: str = "idx", costs: DataFrame | None = None) -> DataFrame:
+    """The candidates with ``risk``: the mean cost to all candidates, itself among them, weighted if asked.
+
+    ``costs``: those of ``pair_costs`` where they are known already.
+    """
+    costs = pair_costs(candidates, key, "norm", order) if costs is None else costs
     w = candidates.select(key, F.col(order).alias("j"), (F.col(weights) if weights else F.lit(1.0)).alias("w"))
     summed = costs.join(w, [key, "j"]).groupBy(key, F.col("i").alias(order)).agg(F.sum(F.col("cost") * F.col("w")).alias("__c"))
     total = w.groupBy(key).agg(F.sum("w").alias("__w"))
@@ -74,9 +78,9 @@ def weighted_candidates(samples: DataFrame, anchors: DataFrame, anchor_weight: f
     )
 
 
-def weighted_mbr(samples: DataFrame, anchors: DataFrame, anchor_weight: float = 1.0, temperature: float | None = None, margin: float = 0.0) -> DataFrame:
+def weighted_mbr(samples: DataFrame, anchors: DataFrame, anchor_weight: float = 1.0, temperature: float | None = None, margin: float = 0.0, costs: DataFrame | None = None) -> DataFrame:
     """(id, text, switched, anchor_risk, best_risk, advantage): leave the anchor only for more than a margin."""
-    scored = risks(weighted_candidates(samples, anchors, anchor_weight, temperature), "weight")
+    scored = risks(weighted_candidates(samples, anchors, anchor_weight, temperature), "weight", costs=costs)
     best = scored.groupBy("id").agg(
         F.min_by(F.struct("text", "risk", "is_anchor"), F.struct("risk", (~F.col("is_anchor")).alias("other"), (-F.col("weight")).alias("light"), "idx")).alias("b"),
         F.max_by(F.struct("text", "risk"), "is_anchor").alias("a"),
@@ -86,6 +90,22 @@ def weighted_mbr(samples: DataFrame, anchors: DataFrame, anchor_weight: float =
     return best.select("id", F.when(switched, F.col("b.text")).otherwise(F.col("a.text")).alias("text"), switched.alias("switched"), F.col("a.risk").alias("anchor_risk"), F.col("b.risk").alias("best_risk"), advantage.alias("advantage"))
 
 
+def mbr_grid(samples: DataFrame, anchors: DataFrame, anchor_weights: list[float], temperatures: list[float | None]) -> DataFrame:
+    """(id, anchor_weight, temperature, anchor, text, is_other, advantage): the weighted choice under every pair of parameters.
+
+    Margins are not part of it: whether a choice is taken is told by its advantage. Costs hang on neither parameter and
+    are computed once.
+    """
+    costs = cut(pair_costs(weighted_candidates(samples, anchors, 0.0, None)))
+    named, out = anchors.select("id", F.col("text").alias("anchor")), None
+    for weight in anchor_weights:
+        for t in temperatures:
+            chosen = weighted_mbr(samples, anchors, weight, t, -1.0, costs)
+            part = chosen.select("id", F.lit(float(weight)).alias("anchor_weight"), F.lit(t).cast("double").alias("temperature"), "text", F.col("switched").alias("is_other"), "advantage")
+            out = part if out is None else out.unionByName(part)
+    return out.join(named, "id")
+
+
 def nbest_features(samples: DataFrame, anchors: DataFrame) -> DataFrame:
     """Per utterance the scores' best, gap, mean and spread, the numbers of samples and texts, and the mean cost of the
     anchor to all samples."""

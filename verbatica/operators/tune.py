@@ -53,6 +53,26 @@ def grid_tune(selections: DataFrame, folds: int, *parameters: str) -> DataFrame:
     return outside.groupBy("fold").agg(best.alias("r")).select("fold", "r.*")
 
 
+def nested_choice(choices: DataFrame, margins: list[float], errors: DataFrame, folds: int) -> DataFrame:
+    """(fold, anchor_weight, temperature, margin, error, switches): the parameters with the least error, then the fewest
+    switches, on all other folds.
+
+    ``choices``: those of ``select.mbr_grid``; ``errors``: (id, text, word_errors, word_count, char_errors, char_count).
+    Every choice is judged under every margin where it is; what is shuffled are sums by fold and parameters.
+    """
+    each = choices.withColumn("margin", F.explode(F.array(*[F.lit(float(m)) for m in margins])))
+    each = each.withColumn("switched", F.col("is_other") & (F.col("advantage") > F.col("margin"))).withColumn("said", F.when(F.col("switched"), F.col("text")).otherwise(F.col("anchor")))
+    judged = each.join(errors.withColumnRenamed("text", "said"), ["id", "said"]).withColumn("fold", stable_fold(F.col("id"), folds))
+    parameters, sums = ["anchor_weight", "temperature", "margin"], ["word_errors", "word_count", "char_errors", "char_count"]
+    inside = judged.groupBy("fold", *parameters).agg(*[F.sum(c).alias(c) for c in sums], F.count_if("switched").alias("switches"))
+    w = Window.partitionBy(*parameters)
+    outside = inside.select("fold", *parameters, *[(F.sum(c).over(w) - F.col(c)).alias(c) for c in [*sums, "switches"]])
+    rate = lambda e, n: F.col(e) / F.greatest(F.col(n), F.lit(1))
+    outside = outside.withColumn("error", F.round(0.5 * rate("word_errors", "word_count") + 0.5 * rate("char_errors", "char_count"), 12))
+    best = F.min_by(F.struct(*parameters, "error", "switches"), F.struct("error", "switches", *parameters))
+    return outside.groupBy("fold").agg(best.alias("r")).select("fold", "r.*")
+
+
 def contiguous_margins(samples: DataFrame, margins: list[float], folds: int, language: str, order: str, score: Column) -> DataFrame:
     """(language, margin, mean): mean scores over contiguous folds of equal size; rows past the last fold are dropped.
 

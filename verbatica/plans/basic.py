@@ -98,6 +98,38 @@ def a10(spark, d):
     return sources.read_manifest(spark, path)
 
 
+@query("a11_archive_members", "SELECT id, strlen(target)::BIGINT AS n_bytes FROM zoo_references WHERE target <> '' AND language <> 'eng'")
+def a11(spark, d):
+    """References packed into archives and found again by the manifest."""
+    rows = table(spark, d, "zoo_references").filter("id IS NOT NULL AND target <> ''").select("id", "target", F.pmod(F.xxhash64("id"), F.lit(4)).alias("shard"), "language")
+
+    def packed(part):
+        import io
+        import tarfile
+
+        import pandas as pd
+
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:xz") as tar:
+            for i, t in zip(part["id"], part["target"]):
+                data = t.encode()
+                info = tarfile.TarInfo(f"clips/{i}.txt")
+                info.size = len(data)
+                tar.addfile(info, io.BytesIO(data))
+        return pd.DataFrame({"path": [f"shard-{part['shard'].iloc[0]}.tar.xz"], "content": [out.getvalue()]})
+
+    archives = rows.groupBy("shard").applyInPandas(packed, "path string, content binary")
+    manifest = rows.filter("language <> 'eng'").select("id", F.concat(F.lit("audio/x/"), "id", F.lit(".wav")).alias("audio_filepath"))
+    return sources.members_of_manifest(sources.archive_members(archives, ".txt"), manifest).select("id", F.length("content").cast("bigint").alias("n_bytes"))
+
+
+@query("a12_official_files", "WITH o AS (SELECT DISTINCT id FROM zoo_references WHERE id IS NOT NULL), f AS (SELECT DISTINCT id FROM zoo_predictions WHERE model_name = 'ctc_small' AND id IS NOT NULL) SELECT coalesce(o.id, f.id) AS id, CASE WHEN o.id IS NULL THEN 'extra' WHEN f.id IS NULL THEN 'missing' ELSE 'found' END AS status FROM o FULL JOIN f ON o.id = f.id")
+def a12(spark, d):
+    paths = table(spark, d, "zoo_predictions").filter("model_name = 'ctc_small' AND id IS NOT NULL").select(F.concat(F.lit("clips/x.y/"), "id", F.lit(".wav")).alias("path"))
+    files = paths.select(sources.stem(F.col("path")).alias("id"), "path")
+    return sources.official_files(files, table(spark, d, "zoo_references").filter("id IS NOT NULL")).select("id", "status")
+
+
 @query("a13_corpus", f"SELECT language, {sql_plain('transcription')} AS value FROM prepared_rows WHERE language IS NOT NULL AND {sql_plain('transcription')} <> ''")
 def a13(spark, d):
     path = _folder(spark, "corpus")

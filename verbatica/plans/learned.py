@@ -10,7 +10,7 @@ from ..functions.text import id_language
 from ..operators import learn, scoring
 from .registry import query
 from .scores import candidates, of, pairs
-from .views import ANCHOR, hyps, refs
+from .views import ANCHOR, SQL, hyps, refs
 
 
 @query("h15_rover")
@@ -59,4 +59,10 @@ def f13(spark, d):
 
 @query("h16_learned_router")
 def h16(spark, d):
-    return learn.top_rate(learn.out_of_fold_router(_router_rows(spark, d), ["lin", "lug", "sna"]), 0.3)
+    return learn.nested_router(_router_rows(spark, d), ["lin", "lug", "sna"])
+
+
+@query("h16_folds", f"{SQL}, a AS (SELECT id FROM hyps WHERE system = 'ctc_wide' AND id IN (SELECT id FROM refs)), b AS (SELECT id FROM hyps WHERE system = 'seq_large'), r AS (SELECT id, split_part(id, '_', 1) AS language FROM a JOIN b USING (id)), p AS (SELECT *, (row_number() OVER (PARTITION BY language ORDER BY sha1(id), id) - 1) % 3 AS fold FROM r) SELECT fold::INT AS fold, count(*) AS n FROM p GROUP BY fold")
+def h16f(spark, d):
+    """Every row is predicted in one fold, and folds have the same part of every language."""
+    return h16(spark, d).groupBy("fold").agg(F.count(F.lit(1)).alias("n"))

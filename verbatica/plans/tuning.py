@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import id_language, stable_fold
-from ..operators import audit, lid, route, scoring, tune
+from ..operators import audit, lid, route, scoring, select, tune
 from ..session import cut, table
 from .basic import lm, mix
 from .registry import query
 from .routes import _LM
-from .scores import of, pairs
+from .scores import anchors, of, pairs, samples, weighted_sql
 from .views import ANCHOR, PAIRS_SQL, SQL, hyps, refs
 
 _LANGS = ["eng", "lin", "lug", "sna"]
@@ -75,12 +75,18 @@ def i1(spark, d):
 
 @query("i2_text_lid")
 def i2(spark, d):
-    rows = mix(spark, d).filter("language IS NOT NULL AND length(transcription) > 8").select("row_no", "language", "transcription", stable_fold(F.col("id"), 5).alias("fold"))
+    rows = mix(spark, d).filter("language IS NOT NULL AND trim(transcription) <> ''").select("row_no", "language", "transcription", stable_fold(F.col("id"), 5).alias("fold"))
     model = lid.train_text_lid(rows.filter("fold > 0"), "transcription", "language")
     guessed = lid.apply_text_lid(model, rows.filter("fold = 0").withColumnRenamed("language", "truth"), "transcription")
     return audit.confusion(guessed, "truth", "predicted")
 
 
+@query("i2_held_out", f"SELECT language AS truth, count(*) AS n FROM generalization_mix WHERE language IS NOT NULL AND trim(transcription) <> '' AND ('0x' || substr(sha1(id), 1, 8))::BIGINT % 5 = 0 GROUP BY ALL HAVING count(*) > 0")
+def i2_held_out(spark, d):
+    """Every held-out row is told some language: the row sums of the confusion."""
+    return i2(spark, d).groupBy("truth").agg(F.sum("n").alias("n"))
+
+
 @query("i3_top_two", f"{_VIEW}, s AS (SELECT id, {_RANKED(_A)} AS r FROM v) SELECT id, CASE WHEN -r[1].p < 0.35 THEN 'unk' ELSE r[1].k END AS language, round(-r[1].p, 9) AS confidence, round(-r[1].p + r[2].p, 9) AS margin FROM s")
 def i3(spark, d):
     out = lid.top_two({k: F.col(f"a_{k}") for k in _LANGS}, 0.35)
@@ -186,16 +192,23 @@ def l3(spark, d):
     return tune.out_of_fold(_samples(spark, d), _THRESHOLDS, 4, "language").select("id", "fold", "threshold", "switched")
 
 
+_ANCHOR_WEIGHTS, _TEMPERATURES, _MARGINS = [0.5, 1.0], [0.1, 0.25], [0.0, 0.02, 0.05]
+_CHOICES = " UNION ALL ".join(f"SELECT {a}::DOUBLE AS anchor_weight, {t}::DOUBLE AS temperature, id, atext AS anchor, btext AS text, NOT banchor AS other, round(anchor_risk - best_risk, 9) AS advantage FROM ({weighted_sql(a, t)} SELECT * FROM w)" for a in _ANCHOR_WEIGHTS for t in _TEMPERATURES)
+
+
 @query(
     "l4_grid",
-    f"{_SAMP}, e AS (SELECT id, fold, threshold, scale, -(CASE WHEN margin > threshold * scale THEN delta ELSE 0 END) AS errors, margin > threshold * scale AS switched FROM sm, th, (SELECT unnest([0.5, 1.0]::DOUBLE[]) AS scale)), i AS (SELECT fold, threshold, scale, sum(errors) AS e, count(*) FILTER (switched) AS s FROM e GROUP BY ALL), "
-    "o AS (SELECT fold, threshold, scale, round(sum(e) OVER (PARTITION BY threshold, scale) - e, 12) AS error, sum(s) OVER (PARTITION BY threshold, scale) - s AS switches FROM i) SELECT fold, threshold, scale, round(error, 9) AS error, switches::BIGINT AS switches FROM o QUALIFY row_number() OVER (PARTITION BY fold ORDER BY o.error, switches, threshold, scale) = 1",
+    f"{PAIRS_SQL}, ch AS ({_CHOICES}), mg AS (SELECT unnest({_MARGINS}::DOUBLE[]) AS margin), er AS (SELECT id, hyp AS said, any_value(we) AS we, any_value(wn) AS wn, any_value(ce) AS ce, any_value(cn) AS cn FROM pairs GROUP BY id, hyp), "
+    "ea AS (SELECT id, ('0x' || substr(sha1(id), 1, 8))::BIGINT % 4 AS fold, anchor_weight, temperature, margin, other AND advantage > margin AS switched, CASE WHEN other AND advantage > margin THEN text ELSE anchor END AS said FROM ch, mg), "
+    "ins AS (SELECT fold, anchor_weight, temperature, margin, sum(we) AS we, sum(wn) AS wn, sum(ce) AS ce, sum(cn) AS cn, count(*) FILTER (switched) AS s FROM ea JOIN er USING (id, said) GROUP BY ALL), "
+    "ou AS (SELECT fold, anchor_weight, temperature, margin, sum(we) OVER p - we AS we, sum(wn) OVER p - wn AS wn, sum(ce) OVER p - ce AS ce, sum(cn) OVER p - cn AS cn, (sum(s) OVER p - s)::BIGINT AS switches FROM ins WINDOW p AS (PARTITION BY anchor_weight, temperature, margin)), "
+    "fi AS (SELECT *, round(0.5 * (we::DOUBLE / greatest(wn, 1)) + 0.5 * (ce::DOUBLE / greatest(cn, 1)), 12) AS error FROM ou) "
+    "SELECT fold, anchor_weight, temperature, margin, error, switches FROM fi QUALIFY row_number() OVER (PARTITION BY fold ORDER BY error, switches, anchor_weight, temperature, margin) = 1",
 )
 def l4(spark, d):
-    grid = _samples(spark, d).withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in _THRESHOLDS]))).withColumn("scale", F.explode(F.array(F.lit(0.5), F.lit(1.0))))
-    on = F.col("margin") > F.col("threshold") * F.col("scale")
-    selected = grid.select("id", "threshold", "scale", (-F.when(on, F.col("delta")).otherwise(0.0)).alias("errors"), on.alias("switched"))
-    return tune.grid_tune(selected, 4, "threshold", "scale").withColumn("error", F.round("error", 9))
+    choices = select.mbr_grid(samples(spark, d), anchors(spark, d), _ANCHOR_WEIGHTS, _TEMPERATURES)
+    errors = pairs(spark, d).select("id", F.col("hyp").alias("text"), "word_errors", "word_count", "char_errors", "char_count").dropDuplicates(["id", "text"])
+    return tune.nested_choice(choices, _MARGINS, errors, 4)
 
 
 @query(

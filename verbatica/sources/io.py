@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,6 +137,11 @@ def long_systems(named: dict[str, DataFrame]) -> DataFrame:
 
 def unpack_archives(spark: SparkSession, glob: str, suffix: str = "") -> DataFrame:
     """(archive, stem, name, content) of the members of tar archives, of any compression."""
+    return archive_members(spark.read.format("binaryFile").load(glob).select("path", "content"), suffix)
+
+
+def archive_members(archives: DataFrame, suffix: str = "") -> DataFrame:
+    """(archive, stem, name, content) of the members of archives (path, content), each read once from front to back."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -144,18 +149,38 @@ def unpack_archives(spark: SparkSession, glob: str, suffix: str = "") -> DataFra
 
         for b in batches:
             for path, content in zip(b["path"], b["content"]):
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as tar:
                     for member in tar:
                         if member.isfile() and member.name.endswith(suffix):
                             name = Path(member.name).name
                             yield pd.DataFrame({"archive": [Path(path).name], "stem": [Path(name).stem], "name": [name], "content": [tar.extractfile(member).read()]})
 
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(run, "archive string, stem string, name string, content binary")
+    return archives.mapInPandas(run, "archive string, stem string, name string, content binary")
+
+
+def stem(path: Column) -> Column:
+    """The name of a file without folders and its last ending."""
+    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
+def members_of_manifest(members: DataFrame, manifest: DataFrame, path: str = "audio_filepath") -> DataFrame:
+    """The rows of a manifest with the archive member of the same stem, the first by archive and name."""
+    one = members.groupBy("stem").agg(F.min_by(F.struct("archive", "name", "content"), F.struct("archive", "name")).alias("m")).select("stem", "m.*")
+    return manifest.withColumn("stem", stem(F.col(path))).join(one, "stem")
 
 
 def files_by_id(spark: SparkSession, glob: str) -> DataFrame:
     """(id, path, length) of loose files named by their identifiers; contents stay unread."""
-    return spark.read.format("binaryFile").load(glob).select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("id"), "path", "length")
+    return spark.read.format("binaryFile").load(glob).select(stem(F.col("path")).alias("id"), "path", "length")
+
+
+def official_files(files: DataFrame, official: DataFrame, key: str = "id") -> DataFrame:
+    """(id, path, status): every official identifier with its file, ``found`` or ``missing``, and files that no list
+    names, ``extra``."""
+    listed = official.select(F.col(key).alias("id"), F.lit(True).alias("listed")).distinct()
+    both = listed.join(files.groupBy("id").agg(F.min("path").alias("path")), "id", "full_outer")
+    status = F.when(F.col("listed").isNull(), "extra").when(F.col("path").isNull(), "missing").otherwise("found")
+    return both.select("id", "path", status.alias("status"))
 
 
 def map_media(df: DataFrame, decode: Callable[[bytes], list[float]], content: str = "content") -> DataFrame:
@@ -188,6 +213,39 @@ def merge_config(base: dict, overrides: dict) -> dict:
     return out
 
 
+def read_config(path: str, overrides: dict | None = None) -> dict:
+    """A configuration file, YAML or JSON by its ending, with overrides."""
+    text = Path(path).read_text(encoding="utf-8")
+    if path.endswith(".json"):
+        base = json.loads(text)
+    else:
+        try:
+            import yaml
+        except ImportError as e:
+            raise ImportError("reading YAML needs the yaml package; JSON does not") from e
+        base = yaml.safe_load(text)
+    if not isinstance(base or {}, dict):
+        raise ValueError(f"{path} holds no mapping")
+    return merge_config(base or {}, overrides or {})
+
+
+def cache_matches(record: dict | None, **expected) -> bool:
+    """Whether a cached result was made by what is expected now: the same model, revision, identifiers, ..."""
+    return record is not None and all(k in record and record[k] == v for k, v in expected.items())
+
+
+def source_revision(folder: str = ".") -> str | None:
+    """The commit of the working tree, with a plus where it has changes; None outside of one."""
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", folder, *a], capture_output=True, text=True, timeout=30)
+    try:
+        head = git("rev-parse", "HEAD")
+        return head.stdout.strip() + ("+" if git("status", "--porcelain").stdout.strip() else "") if head.returncode == 0 else None
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+
+
 def experiment_record(name: str, config: dict, metrics: dict, artifacts: dict | None = None) -> dict:
     """What is to be kept of a run: a safe name, the configuration, the results, the versions."""
     import platform
@@ -201,6 +259,7 @@ def experiment_record(name: str, config: dict, metrics: dict, artifacts: dict |
         "config": config,
         "metrics": metrics,
         "artifacts": artifacts or {},
+        "revision": source_revision(),
         "python": platform.python_version(),
         "spark": pyspark.__version__,
     }
