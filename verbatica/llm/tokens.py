@@ -16,9 +16,11 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pandas as pd
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,12 +42,21 @@ LANGUAGES = {
 }
 
 
+def _here(path: str) -> str:
+    """The copy of a file that was sent to this worker, or its own path."""
+    try:
+        sent = SparkFiles.get(Path(path).name)
+    except Exception:  # noqa: BLE001 - no application is running
+        return path
+    return sent if Path(sent).is_file() else path
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str):
     """The tokenizer of a rank file, loaded once a worker."""
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(_here(path), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -87,6 +98,8 @@ def _counter(path: str):
 def token_counts(df: DataFrame, id_col: str, fields: list[str], carry: dict[str, Column] | None = None, tokenizer: str = TOKENIZER, most: int = CHUNK_CHARS, salts: int = 64) -> DataFrame:
     """(id, n_tokens and the carried columns) of every filled record."""
     carry = carry or {}
+    if Path(tokenizer).is_file():  # workers read what the driver has, wherever they run
+        df.sparkSession.sparkContext.addFile(tokenizer)
     picked = df.select(F.col(f"`{id_col}`").alias("id"), *[v.alias(k) for k, v in carry.items()], F.struct(*[F.col(f"`{f}`").cast("string").alias(f"f{i}") for i, f in enumerate(fields)]).alias("t"))
     parts = [F.col(f"t.f{i}") for i in range(len(fields))]
     filled = picked.filter(F.trim(F.concat_ws("", *parts)) != "")
@@ -94,14 +107,22 @@ def token_counts(df: DataFrame, id_col: str, fields: list[str], carry: dict[str,
     usual = filled.filter(~oversized).select("id", *carry, _counter(tokenizer)("t").alias("n_tokens"))
 
     kept = list(carry)
+    columns = ["id", *kept, "uid", "i", "piece"]
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for _, row in b.iterrows():
-                texts = [x for x in dict.fromkeys(row["t"].values()) if x]
-                name = hashlib.blake2b(repr((row["id"], [row[c] for c in kept], texts)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                for i, piece in enumerate(p for t in texts for p in safe_chunks(t, most)):
-                    yield pd.DataFrame({"id": [row["id"]], **{c: [row[c]] for c in kept}, "uid": [name], "i": [i], "piece": [piece]})
+            out: list[tuple] = []
+            size = 0
+            for i, t, *carried in zip(b["id"], b["t"], *[b[c] for c in kept]):
+                texts = [x for x in dict.fromkeys(t.values()) if x]
+                name = hashlib.blake2b(repr((i, carried, texts)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                for k, piece in enumerate(p for x in texts for p in safe_chunks(x, most)):
+                    out.append((i, *carried, name, k, piece))
+                    size += len(piece)
+                    if size > 32 * most:
+                        yield pd.DataFrame(out, columns=columns)
+                        out, size = [], 0
+            yield pd.DataFrame(out, columns=columns)
 
     kinds = {f.name: f.dataType.simpleString() for f in filled.schema}
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in ["id", *carry]], "uid binary, i bigint, piece string"])
