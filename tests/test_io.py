@@ -135,3 +135,14 @@ def test_configurations_caches_and_revisions(tmp_path):
     assert not sources.cache_matches({"model": "m"}, model="m", revision="1") and not sources.cache_matches(None, model="m")
     assert sources.source_revision(str(tmp_path)) is None
     assert "revision" in sources.experiment_record("x", {}, {})
+
+
+def test_results_in_the_file_system_of_a_path(spark, tmp_path):
+    from verbatica.plans.stages import exists_in
+
+    there = exists_in(spark)
+    assert not there(f"file:{tmp_path}/r.json")
+    sources.write_report({"b": "ŋ", "a": 1}, f"file:{tmp_path}/r.json", spark)
+    assert there(f"file:{tmp_path}/r.json") and json.loads((tmp_path / "r.json").read_text()) == {"a": 1, "b": "ŋ"}
+    spark.range(1).write.parquet(f"file:{tmp_path}/t")
+    assert there(f"file:{tmp_path}/t") and not there(f"file:{tmp_path}")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .text import bind
 
+# The limits below and in the defaults of the functions (seconds, decibels, milliseconds, levels).
 USABLE_SECONDS = 0.05
 
 

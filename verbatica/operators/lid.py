@@ -18,17 +18,25 @@ EPSILON = 1e-9
 
 # Function words and spellings that mark a language.
 MARKERS = {
-    "ach": (
-        "tye atye gitye kun dok woko dano latin obedo aneno adada madit matidi acel aryo ngat ento piny gin kome komgi kacel kiketo apura gang "
-        "myel lum wiye cinge bongo kingi malac maleng pii"
-    ).split(),
-    "nyn": (
-        "aha kandi hariho harimu ariyo kwonka nari omushaija abashaija omukazi abakazi amaizi rubaju enyuma nindeeba omuri eine erikwera ndikubona obwato "
-        "ekishushani aineho arimu bariyo nibakoresa ahandikireho"
-    ).split(),
-    "xog": "nenga gundi umulala ndala zene kwene budambi mwene zinzu zingubo zisuubo ngaji idani baseza matafali masanyalaze kisaala bisaala mukana liguje".split(),
-    "myx": "bakhasi abandu umundu kameetsi kametsi umusaani tsingubo tsikhu lugudo khundulo bibyambako likholelo angolobe khayuni imbata kamatoore ikofiira".split(),
-}
+    "ach": [
+        "tye", "atye", "gitye", "kun", "dok", "woko", "dano", "latin", "obedo", "aneno", "adada", "madit", "matidi",
+        "acel", "aryo", "ngat", "ento", "piny", "gin", "kome", "komgi", "kacel", "kiketo", "apura", "gang", "myel",
+        "lum", "wiye", "cinge", "bongo", "kingi", "malac", "maleng", "pii",
+    ],
+    "nyn": [
+        "aha", "kandi", "hariho", "harimu", "ariyo", "kwonka", "nari", "omushaija", "abashaija", "omukazi", "abakazi",
+        "amaizi", "rubaju", "enyuma", "nindeeba", "omuri", "eine", "erikwera", "ndikubona", "obwato", "ekishushani",
+        "aineho", "arimu", "bariyo", "nibakoresa", "ahandikireho",
+    ],
+    "xog": [
+        "nenga", "gundi", "umulala", "ndala", "zene", "kwene", "budambi", "mwene", "zinzu", "zingubo", "zisuubo",
+        "ngaji", "idani", "baseza", "matafali", "masanyalaze", "kisaala", "bisaala", "mukana", "liguje",
+    ],
+    "myx": [
+        "bakhasi", "abandu", "umundu", "kameetsi", "kametsi", "umusaani", "tsingubo", "tsikhu", "lugudo", "khundulo",
+        "bibyambako", "likholelo", "angolobe", "khayuni", "imbata", "kamatoore", "ikofiira",
+    ],
+}
 #: Fixed values: (language, weight, what) of spellings that count wherever they occur, and of a prefix of long words.
 SPELLINGS = [("myx", 0.6, "kh"), ("myx", 0.4, "tsi")]
 PREFIXES = [("xog", 0.5, "zi", 3)]

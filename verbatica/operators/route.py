@@ -172,6 +172,7 @@ def recommend(rows: DataFrame, agree: float = 0.35, review: float = 0.65, correc
     words = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
     d = F.coalesce("duration", F.lit(0.0))
     cps, wps = F.when(d > 0, F.length(o) / d).otherwise(0.0), F.when(d > 0, words(o) / d).otherwise(0.0)
+    # fixed values: texts that say nothing
     blank = (t == "") | t.isin(".", "...", ",", "?", "!", ";", ":")
     t_bad = blank | (F.length(t) < 12) | (words(t) < 3)
     fast = (cps > max_cps) | (wps > max_wps)

@@ -115,16 +115,18 @@ def h12(spark, d):
     return route.rules_router(scored, 0.2)
 
 
-_LM = f"""{SQL}, t AS (SELECT language, trim(lower(ref)) AS t FROM refs WHERE language IS NOT NULL), pad AS (SELECT language, chr(2) || chr(2) || t || chr(3) AS p FROM t), g AS (SELECT language, substr(p, i, 2) AS context, substr(p, i + 2, 1) AS char FROM (SELECT language, p, unnest(range(1, length(p) - 1)) AS i FROM pad)),
+#: Fixed value: the order of the character models.
+ORDER = 5
+_LM = f"""{SQL}, t AS (SELECT language, trim(lower(ref)) AS t FROM refs WHERE language IS NOT NULL), pad AS (SELECT language, repeat(chr(2), {ORDER - 1}) || t || chr(3) AS p FROM t), g AS (SELECT language, substr(p, i, {ORDER - 1}) AS context, substr(p, i + {ORDER - 1}, 1) AS char FROM (SELECT language, p, unnest(range(1, length(p) - {ORDER - 2})) AS i FROM pad)),
 n AS (SELECT language, context, char, count(*) AS n FROM g GROUP BY ALL), v AS (SELECT language, count(DISTINCT char) + 1 AS v FROM n GROUP BY language), c AS (SELECT language, context, sum(n) AS c FROM n GROUP BY ALL),
-w AS (SELECT id, system, split_part(id, '_', 1) AS language, chr(2) || chr(2) || trim(lower(hyp)) || chr(3) AS p FROM hyps), x AS (SELECT id, system, language, substr(p, i, 2) AS context, substr(p, i + 2, 1) AS char FROM (SELECT id, system, language, p, unnest(range(1, length(p) - 1)) AS i FROM w)),
+w AS (SELECT id, system, split_part(id, '_', 1) AS language, repeat(chr(2), {ORDER - 1}) || trim(lower(hyp)) || chr(3) AS p FROM hyps), x AS (SELECT id, system, language, substr(p, i, {ORDER - 1}) AS context, substr(p, i + {ORDER - 1}, 1) AS char FROM (SELECT id, system, language, p, unnest(range(1, length(p) - {ORDER - 2})) AS i FROM w)),
 lm AS (SELECT x.id, x.system, x.language, sum(ln((coalesce(n.n, 0) + 0.1) / (coalesce(c.c, 0) + 0.1 * v.v))) / count(*) AS lm_score FROM x LEFT JOIN n ON x.language = n.language AND x.context = n.context AND x.char = n.char LEFT JOIN c ON x.language = c.language AND x.context = c.context JOIN v ON x.language = v.language GROUP BY ALL)"""
 
 
 def _lm_scores(spark: SparkSession, d: str, name: str) -> DataFrame:
-    model = route.train_char_lm(refs(spark, d), "ref", "language", 3)
+    model = route.train_char_lm(refs(spark, d), "ref", "language", ORDER)
     h = system(spark, d, name).withColumn("language", id_language(F.col("id")))
-    return h.join(route.score_char_lm(h, "hyp", "language", "id", model, 3, 0.1), ["id", "language"]).withColumnRenamed("hyp", "text")
+    return h.join(route.score_char_lm(h, "hyp", "language", "id", model, ORDER, 0.1), ["id", "language"]).withColumnRenamed("hyp", "text")
 
 
 @query("h13_char_lm", f"{_LM} SELECT id, language, round(lm_score, 6) AS lm_score FROM lm WHERE system = 'ctc_wide'")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import editdist
 from ..functions.text import normalize
 from ..operators import scoring, select
+from ..operators.relational import last_wins
+from ..session import table
 from .registry import query
 from .views import ANCHOR, PAIRS_SQL, SQL, SYSTEMS, hyps, rate_sql, refs, sql_norm, word_distance_sql, words_sql
 
@@ -36,6 +38,23 @@ def g2(spark, d):
     return pairs(spark, d).groupBy("system").agg(*scoring.sums())
 
 
+_REAL = r"trim(regexp_replace(coalesce({c}, ''), '[\s\p{{Z}}]+', ' ', 'g'))"
+_UNFOLDED = f"""WITH r AS (SELECT id, {_REAL.format(c='target')} AS r FROM zoo_references WHERE id IS NOT NULL),
+h AS (SELECT id, model_name AS system, {_REAL.format(c='target')} AS h FROM zoo_predictions WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, model_name ORDER BY row_no DESC) = 1),
+b AS (SELECT id, system, r, h, string_split(r, '') AS rc, string_split(h, '') AS hc, {words_sql("r")} AS rw, {words_sql("h")} AS hw FROM r JOIN h USING (id))"""
+
+
+@query("g1_unfolded", f"{_UNFOLDED} SELECT id, system, {word_distance_sql('rw', 'hw')}::BIGINT AS word_errors, CASE WHEN r = '' OR h = '' THEN length(r) + length(h) ELSE {word_distance_sql('rc', 'hc')} END::BIGINT AS char_errors FROM b")
+def g1u(spark, d):
+    """Distances of the texts as they are, accents, full-width forms and other scripts included; at most 126 different
+    characters and words a pair for the SQL."""
+    real = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s\p{Z}]+", " "))
+    rows = table(spark, d, "zoo_predictions").filter("id IS NOT NULL").select("id", F.col("model_name").alias("system"), F.col("row_no").alias("ord"), real(F.col("target")).alias("hyp"))
+    given = table(spark, d, "zoo_references").filter("id IS NOT NULL").select("id", real(F.col("target")).alias("ref"))
+    e = editdist.error_columns(F.col("ref"), F.col("hyp"))
+    return given.join(last_wins(rows, ["id", "system"], "ord"), "id").select("id", "system", e["word_errors"].alias("word_errors"), e["char_errors"].alias("char_errors"))
+
+
 @query("g3_row_rates", f"{PAIRS_SQL} SELECT id, system, {rate_sql('we', 'wn')} AS wer, {rate_sql('ce', 'cn')} AS cer FROM pairs")
 def g3(spark, d):
     return scoring.rates(pairs(spark, d)).select("id", "system", "wer", "cer")

@@ -6,6 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 
 @dataclass(frozen=True)
 class Stage:
@@ -15,8 +17,23 @@ class Stage:
     needs: tuple[str, ...] = ()
 
 
+def exists_in(spark: SparkSession) -> Callable[[str], bool]:
+    """Whether a finished result is there, in the file system that the path names."""
+
+    def there(path: str) -> bool:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        return fs.exists(at) and (fs.getFileStatus(at).isFile() or fs.exists(jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")))
+
+    return there
+
+
 def run_stages(stages: list[Stage], exists: Callable[[str], bool] | None = None) -> dict[str, str]:
-    """``done`` or ``skipped`` for every stage, in order; a stage whose inputs are missing is an error."""
+    """``done`` or ``skipped`` for every stage, in order; a stage whose inputs are missing is an error.
+
+    ``exists`` looks on this machine by default; ``exists_in`` gives one for a cluster's file system.
+    """
     there = exists or (lambda p: (Path(p) / "_SUCCESS").exists() or Path(p).is_file())
     out: dict[str, str] = {}
     for stage in stages:

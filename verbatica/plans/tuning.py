@@ -10,7 +10,7 @@ from ..operators import audit, lid, route, scoring, select, tune
 from ..session import cut, table
 from .basic import lm, mix
 from .registry import query
-from .routes import _LM
+from .routes import _LM, ORDER
 from .scores import anchors, of, pairs, samples, weighted_sql
 from .views import ANCHOR, PAIRS_SQL, SQL, hyps, refs
 
@@ -119,11 +119,11 @@ _ALL_LM = (
 
 def _all_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every text of a system under the model of every language."""
-    model = route.train_char_lm(refs(spark, d), "ref", "language", 3)
+    model = route.train_char_lm(refs(spark, d), "ref", "language", ORDER)
     model = (cut(model[0]), model[1])
     languages = sorted(r["language"] for r in model[1].select("language").collect() if r["language"])
     h = hyps(spark, d).filter("system = 'seq_mixed'").withColumn("language", F.explode(F.array(*[F.lit(x) for x in languages])))
-    return route.score_char_lm(h, "hyp", "language", "id", model, 3, 0.1)
+    return route.score_char_lm(h, "hyp", "language", "id", model, ORDER, 0.1)
 
 
 @query("i6_lm_language", f"{_ALL_LM}, q AS (SELECT id, language, round(lm_score, 9) AS s FROM lm) SELECT id, arg_max(language, (s, language)) AS language FROM q GROUP BY id")
@@ -131,9 +131,9 @@ def i6(spark, d):
     return lid.by_likelihood(_all_scores(spark, d).withColumn("lm_score", F.round("lm_score", 9))).select("id", "language")
 
 
-@query("i7_likelihood_margin", f"{_ALL_LM}, q AS (SELECT id, language, round(lm_score, 9) AS s FROM lm), r AS (SELECT id, list_reverse_sort(list(s)) AS l, arg_max(language, (s, language)) AS language FROM q GROUP BY id) SELECT id, language, round(l[1] - coalesce(l[2], l[1]), 6) AS margin FROM r")
+@query("i7_likelihood_margin", f"{_ALL_LM}, q AS (SELECT id, language, round(lm_score, 9) AS s FROM lm), r AS (SELECT id, list_reverse_sort(list(s)) AS l, arg_max(language, (s, language)) AS language FROM q GROUP BY id) SELECT id, language, round(l[1] - coalesce(l[2], l[1]), 9) AS margin FROM r")
 def i7(spark, d):
-    return lid.by_likelihood(_all_scores(spark, d).withColumn("lm_score", F.round("lm_score", 9))).withColumn("margin", F.round("margin", 6))
+    return lid.by_likelihood(_all_scores(spark, d).withColumn("lm_score", F.round("lm_score", 9)))
 
 
 @query("i8_vector_lid")

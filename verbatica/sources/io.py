@@ -78,10 +78,19 @@ def write_csv(df: DataFrame, path: str, columns: list[str], order: str | None =
     (out.coalesce(1) if one_file else out).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def write_report(report: dict, path: str) -> None:
-    """A small report as JSON with sorted keys."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(report, sort_keys=True, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
+def write_report(report: dict, path: str, spark: SparkSession | None = None) -> None:
+    """A small report as JSON with sorted keys, on this machine or, with a session, in the file system the path names."""
+    text = json.dumps(report, sort_keys=True, indent=2, ensure_ascii=False) + "\n"
+    if spark is None:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(text, encoding="utf-8")
+        return
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
 
 
 def append_log(df: DataFrame, path: str) -> None:
