@@ -49,7 +49,15 @@ _QUOTAS = """n AS (SELECT count(*) AS n FROM prepared_rows),
 q AS (SELECT new_split, n, n * p / 100.0 AS x, floor(n * p / 100.0)::BIGINT AS low FROM n, (VALUES ('train', 80), ('validation', 10), ('test', 10)) v(new_split, p)),
 r AS (SELECT *, row_number() OVER (ORDER BY x - low DESC, new_split) AS r, n - sum(low) OVER () AS over FROM q)"""
 
+# how languages are written, stated anew
+_MEANT = "CASE WHEN l IN ('lin', 'ln', 'lingala') THEN 'lin' WHEN l IN ('lug', 'lg', 'luganda', 'ganda') THEN 'lug' WHEN l IN ('sna', 'sn', 'shona') THEN 'sna' WHEN l IN ('xog', 'sog', 'lusoga', 'soga') THEN 'xog' WHEN l IN ('myx', 'mas', 'lumasaba', 'masaba', 'masaaba') THEN 'myx' WHEN l IN ('eng', 'en', 'english') THEN 'eng' ELSE 'und' END"
+_RECORDS = f"""f AS (SELECT coalesce(source, '(none)') AS source, coalesce(text_domain, '(none)') AS domain, CASE WHEN length(lower(trim(language))) > 3 THEN regexp_replace(lower(trim(language)), '[_-].*$', '') ELSE lower(trim(language)) END AS l
+  FROM lm_text WHERE trim(concat_ws('', transcription, text)) <> ''),
+m AS (SELECT source, domain, {_MEANT} AS lang FROM f),
+e AS (SELECT 'source' AS dimension, source AS value FROM m UNION ALL SELECT 'language', lang FROM m UNION ALL SELECT 'text_domain', domain FROM m UNION ALL SELECT 'slice', source || '/' || lang || '/' || domain FROM m UNION ALL SELECT 'all', 'all' FROM m)"""
+
 ORACLES = {
+    "p2_records": f"WITH {_RECORDS} SELECT dimension, value, count(*) AS n_records, true AS counted FROM e GROUP BY ALL",
     "p4_found": f"WITH {_SPEAKER} SELECT row_no FROM k WHERE split <> 'train' AND speaker IN (SELECT speaker FROM k WHERE split = 'train' AND speaker IS NOT NULL)",
     "p5_found": f"WITH {_CONTENT} SELECT rep AS row_no_a, row_no AS row_no_b FROM n WHERE row_no <> rep",
     "p5_records": f"WITH {_CONTENT} SELECT row_no, transcription, text, n_copies FROM n WHERE row_no = rep",

@@ -30,6 +30,11 @@ def p2_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_budget(table(spark, d, "lm_text"), "row_no", ["transcription", "text"], dimensions)
 
 
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    """The filled records behind every total, and whether all of them have tokens."""
+    return p2_token_budget(spark, d).select("dimension", "value", "n_records", (F.col("n_tokens") >= F.col("n_records")).alias("counted"))
+
+
 def p2_row_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_counts(table(spark, d, "lm_text"), "row_no", ["transcription", "text"]).withColumnRenamed("id", "row_no")
 
@@ -126,7 +131,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_rates, p2_token_budget, p2_row_tokens, p3_found, p3_report, p4_found, p4_splits, p4_quotas, p5_found, p5_records,
+        p1_found, p1_rates, p2_token_budget, p2_row_tokens, p2_records, p3_found, p3_report, p4_found, p4_splits, p4_quotas, p5_found, p5_records,
         p6_found, p6_forms, p7_found, p7_leaked, p8_mixture, p8_shares, p8_shares_beyond, p9_found, p9_composition,
     )
 }
