@@ -153,13 +153,15 @@ def group_stats(df: DataFrame, text: str, duration: str, *groups: str) -> DataFr
         F.count_if(t == "").alias("n_empty"),
         F.round(F.avg(d), 6).alias("mean_duration"),
         F.round(F.avg(n), 6).alias("mean_chars"),
+        F.median(n).alias("median_chars"),  # of lengths there are few different ones
         F.round(F.sum(d) / 3600, 2).alias("hours"),
         (F.count(F.lit(1)) - F.count_distinct(t)).alias("n_repeated"),
     )
-    for name, value in (("duration", d), ("chars", n)):
-        middle = linear_quantiles(df, value, {f"median_{name}": 0.5}, *groups).withColumnsRenamed({g: f"__{g}" for g in groups})
-        sums = sums.join(middle, reduce(and_, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups])).drop(*[f"__{g}" for g in groups]) if groups else sums.crossJoin(middle)
-    return sums
+    middle = linear_quantiles(df, d, {"median_duration": 0.5}, *groups)
+    if not groups:
+        return sums.crossJoin(middle)
+    middle = middle.withColumnsRenamed({g: f"__{g}" for g in groups})
+    return sums.join(middle, reduce(and_, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups])).drop(*[f"__{g}" for g in groups])
 
 
 def flag_histogram(df: DataFrame, flags: Column, *groups: str) -> DataFrame:
