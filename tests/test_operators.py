@@ -1,8 +1,12 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from verbatica.functions.sequence import phrase_rules
 from verbatica.functions.text import normalize
 from verbatica.operators import audit, learn, lid, manifest, relational, route, scoring, select, skew, tune
+from verbatica.plans import QUERIES
 
 
 def rows(df, *columns):
@@ -132,6 +136,31 @@ def test_rules_are_mined_and_judged(spark):
     assert report["kept"] and report["words_after"] == 0
 
 
+def test_any_number_of_rules_is_judged(spark, tmp_path):
+    refs, hyps = [], []
+    for k in range(420):  # 98 rules in every mined row, which the row after it needs
+        words = [(f"k{i}", f"m{k // 2}z{i}", f"s{k // 2}z{i}") for i in range(98)]
+        refs.append((f"lin_{k:04}", "lin", " ".join(f"{a} {m}" for a, m, _ in words)))
+        hyps.append((k, f"lin_{k:04}", "ctc_small", " ".join(f"{a} {s}" for a, _, s in words)))
+    spark.createDataFrame(refs, "id string, language string, target string").write.parquet(f"{tmp_path}/zoo_references.parquet")
+    spark.createDataFrame(hyps, "row_no bigint, id string, model_name string, target string").write.parquet(f"{tmp_path}/zoo_predictions.parquet")
+    assert QUERIES["h19_rules"](spark, str(tmp_path)).count() == 210 * 98 > learn.MOST_RULES
+    report = QUERIES["h19_rule_report"](spark, str(tmp_path)).first()
+    assert (report["words_before"], report["words_after"], report["chars_after"], report["n_words"], report["kept"]) == (210 * 98, 0, 0, 210 * 196, True)
+
+
+def test_rules_in_a_table_do_what_collected_rules_do(spark):
+    rules = spark.createDataFrame(
+        [("eng", "a b", "x", 2), ("eng", "A  b", "y", 1), ("eng", "b", "", 9), ("eng", "b", "q", 9), ("eng", "a c", "z", 1), ("eng", "a c", "w", 3), (" ", "d", "e", 1), (None, "b", "n", 1)], "language string, said string, meant string, n bigint"
+    )
+    texts = ["A b, c", "a  c.  b?", "b b", "", "  ", None, "a . b", "a a b a c", "no  rule", "d  D"]
+    given = spark.createDataFrame([(t, lang) for t in texts for lang in ("eng", "lin", " ", "", None)] * 2, "hyp string, language string")
+    want = given.withColumn("new", phrase_rules(learn.collect_rules(rules))("hyp", "language"))
+    got = learn.exchanged_phrases(given, rules, "hyp", "new")
+    assert got.columns == want.columns and Counter(got.collect()) == Counter(want.collect())
+    assert Counter(learn.exchanged_phrases(given, rules.limit(0), "hyp", "new").select("hyp", "new").collect()) == Counter((t, t) for t in texts for _ in range(10))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "id string, language string, ref string")
     hyps = spark.createDataFrame([], "id string, hyp string")

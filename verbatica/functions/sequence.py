@@ -139,3 +139,32 @@ def phrase_rules(rules: dict[str, list[tuple[str, str]]]):
         return pd.Series([tries[lang].apply(t) if t is not None and lang in tries else t for t, lang in zip(texts, languages)], dtype=object)
 
     return apply
+
+
+@F.pandas_udf(T.StringType())
+def phrase_key(phrases: pd.Series) -> pd.Series:
+    """The words of a rule's phrase as ``Phrases`` looks for them, with a blank between them."""
+    return pd.Series([" ".join((p or "").lower().split()) for p in phrases], dtype=object)
+
+
+def phrases_of(text: str, longest: int) -> list[str]:
+    """The different phrases of at most ``longest`` words that stand in a text, the empty one among them."""
+    words = phrase_words(text)
+    runs = (words[i : i + n] for n in range(1, longest + 1) for i in range(len(words) - n + 1))
+    return ["", *dict.fromkeys(" ".join(r) for r in runs if all(r))]
+
+
+def phrases_in(longest: int):
+    """A function of a text: ``phrases_of``, null for a null text."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else phrases_of(t, longest) for t in texts], dtype=object)
+
+    return found
+
+
+@F.pandas_udf(T.StringType())
+def own_phrase_rules(texts: pd.Series, said: pd.Series, meant: pd.Series) -> pd.Series:
+    """Every text with its own rules applied; without rules it stays as it is."""
+    return pd.Series([t if t is None or s is None else Phrases(list(zip(s, m))).apply(t) for t, s, m in zip(texts, said, meant)], dtype=object)

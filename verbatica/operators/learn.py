@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions import shape
 from ..functions.editdist import word_distance
-from ..functions.sequence import block_error_counts, in_places, phrase_rules, substitutions
+from ..functions.sequence import block_error_counts, in_places, own_phrase_rules, phrase_key, phrase_rules, phrases_in, substitutions
 from ..functions.text import compression_ratio, stable_fold
 from ..session import cut
 from .audit import linear_quantiles
 from .lid import marker_scores
-from .skew import ranked
+from .skew import attach_by_key, ranked
 
-#: A rule table larger than this is refused rather than brought to the driver.
+#: ``collect_rules`` refuses to bring a larger rule table to the driver; ``exchanged_phrases`` takes tables of any size.
 MOST_RULES = 20_000
 
 
@@ -76,9 +76,32 @@ def collect_rules(rules: DataFrame) -> dict[str, list[tuple[str, str]]]:
     return out
 
 
-def rule_report(pairs: DataFrame, rules: dict[str, list[tuple[str, str]]]) -> DataFrame:
-    """Per language the errors on the rows that were not mined, before and after, and whether the rules are kept."""
-    held = halves(pairs).filter("NOT mined").withColumn("new", phrase_rules(rules)("hyp", "language"))
+def exchanged_phrases(rows: DataFrame, rules: DataFrame, text: str, out: str) -> DataFrame:
+    """``out``: ``text`` with the phrases of the rules of its ``language`` exchanged, as ``phrase_rules`` does with ``collect_rules``.
+
+    ``rules``: (language, said, meant, n), of any number. They stay a table; a text is sent the rules of the phrases
+    that stand in it, by the empty phrase it learns that its language has rules at all.
+    """
+    # a phrase has no line break in it and a null language no mark, so that no two keys are alike
+    key = F.concat_ws("\n", F.concat(F.lit("="), "language"), "__said").alias("__key")
+    listed = rules.select("language", "said", "meant", "n", F.explode(F.array(phrase_key("said"), F.lit(""))).alias("__said"))
+    before = F.struct((-F.length("said")).alias("size"), (-F.col("n")).alias("n"), "said", "meant")
+    first = cut(listed.groupBy(key, "__said").agg(F.min_by("meant", before).alias("__meant")))
+    longest = first.agg(F.max(F.size(F.split("__said", " ")))).first()[0] or 0
+    numbered = cut(rows.withColumn("__row", F.monotonically_increasing_id()))
+    there = cut(numbered.select("__row", "language", F.explode(phrases_in(longest)(text)).alias("__said")).select("__row", key))
+    facts = cut(there.groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).join(first, "__key"))
+    own = attach_by_key(there, facts, "__key", "__n", there.count()).groupBy("__row").agg(F.collect_list(F.struct("__said", "__meant")).alias("__rules"))
+    return numbered.join(own, "__row", "left").withColumn(out, own_phrase_rules(text, "__rules.__said", "__rules.__meant")).drop("__row", "__rules")
+
+
+def rule_report(pairs: DataFrame, rules: DataFrame | dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """Per language the errors on the rows that were not mined, before and after, and whether the rules are kept.
+
+    ``rules``: the table of ``mine_rules``, however large, or what ``collect_rules`` brought to the driver.
+    """
+    held = halves(pairs).filter("NOT mined")
+    held = held.withColumn("new", phrase_rules(rules)("hyp", "language")) if isinstance(rules, dict) else exchanged_phrases(held, rules, "hyp", "new")
     scored = held.withColumns({"b": block_error_counts("ref", "hyp"), "a": block_error_counts("ref", "new")})
     sums = scored.groupBy("language").agg(
         F.sum("b.word_errors").alias("words_before"), F.sum("a.word_errors").alias("words_after"), F.sum("b.char_errors").alias("chars_before"), F.sum("a.char_errors").alias("chars_after"),

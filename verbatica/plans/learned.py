@@ -35,7 +35,7 @@ def h19(spark, d):
 
 @query("h19_rule_report")
 def h19r(spark, d):
-    return learn.rule_report(_pairs(spark, d), learn.collect_rules(learn.mine_rules(_pairs(spark, d), least=1)))
+    return learn.rule_report(_pairs(spark, d), learn.mine_rules(_pairs(spark, d), least=1))
 
 
 @query("e15_phrase_rules")
