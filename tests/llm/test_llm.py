@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verbatica.llm import allocation, crosssplit, formatting, leakage, lookalike, minhash, mixing, subjects, tokens, truncation
+from verbatica.operators import skew
 
 
 def pairs(df, *columns):
@@ -203,6 +204,26 @@ def test_hot_keys_leave_in_slices(spark, monkeypatch):
     assert set(zip(met["t"], met["h"])) | set(zip(rest["t"], rest["h"])) == usual
 
 
+def test_tasks_and_ranges_of_large_inputs(spark, monkeypatch):
+    for n in (1, 250_000, 1_500_000, 65_000_000):
+        r = minhash.ranges_of(n)
+        held = n * 1.5 * (80 / r * 17 + (1 - (1 - 1 / r) ** 80) * 42)  # a key, and the text that comes with the first of its keys
+        assert held <= 151e6 and (r == 1 or held > 60e6)
+    assert [skew.fewer_tasks(spark, n) for n in (0, 7, 512, 2000, 4000, 40_000)] == [0, 7, 512, 512, 1000, 10_000]
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(["ba", "ko", "mi", "lu", "no", "te", "ndi"], k=20)) for _ in range(40)]
+    texts = [x for t in texts for x in (t, t[:9] + "q" + t[10:])]
+    rows = [(i, t, i % 2 == 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "row_no bigint, t0 string, h boolean")
+    usual = set(pairs(crosssplit.overlap_pairs(df, "row_no", "t0", F.col("h")), "train_id", "held_id"))
+    assert usual >= {(i, i + 1) for i in range(0, 80, 2)}
+    for module, name, value in ((skew, "MANY_TASKS", 3), (minhash, "RANGE_BYTES", 5000), (minhash, "SENT", 500), (crosssplit, "TASK_CLASSES", 1)):
+        monkeypatch.setattr(module, name, value)
+    assert minhash.ranges_of(80) > 64  # more than tasks, which are at most four for each core here, or a quarter
+    assert crosssplit._classes(df, "row_no", "t0", F.col("h"), 12)[1].rdd.getNumPartitions() <= 20
+    assert set(pairs(crosssplit.overlap_pairs(df, "row_no", "t0", F.col("h")), "train_id", "held_id")) == usual
+
+
 def test_letters_of_many_texts():
     texts = ["ﬁn Ⅳ x\n yＡ\u200bｂ！", "𝐇𝐞𝐥𝐥𝐨 ｶﾞ", "", "ǅ ß ŉ İstanbul", "Ὀδυσσεύς ΑΎΤΟ", "plain, text 12", "ndɔ́ɛ̂ \U0001f642", "x" * 50_000, "\n\n", "е\u0301té"]
     marks = lambda t: sum(unicodedata.category(c)[0] == "M" for c in t)
